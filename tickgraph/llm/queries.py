@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontaminate
+from pyspark.sql import functions as F
+
+from . import decontaminate, packing
 
 
 def _table(spark, sf_dir, name):
@@ -36,7 +38,13 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(words.n_hit, 0)::BIGINT A
 FROM dw d LEFT JOIN words USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
+def op3_best_fit_packing(spark, sf_dir):
+    packed = packing.pack(_table(spark, sf_dir, "documents"))
+    return packed.select(F.col("row.doc_id").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 QUERIES = {
+    "op3_best_fit_packing": op3_best_fit_packing,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
 }
 SQL = {"op6_benchmark_decontamination": OP6_SQL}
