@@ -29,7 +29,8 @@ def connected_components(edges: DataFrame, scratch: Scratch, max_rounds: int = 6
         if _is_stars(edges):
             break
         both = edges.union(edges.select(F.col("b"), F.col("a")))
-        least = scratch.write(both.groupBy(F.col("a").alias("b")).agg(F.least(F.min("b"), F.col("b")).alias("m")))
+        least = both.groupBy("a").agg(F.min("b").alias("m"))
+        least = scratch.write(least.select(F.col("a").alias("b"), F.least("m", "a").alias("m")))
         large = scratch.write(edges.join(least, "b").select("a", F.col("m").alias("b")).where("a <> b").distinct())
         least2 = scratch.write(large.groupBy("a").agg(F.min("b").alias("m")))
         moved = large.join(least2, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing
+from . import decontaminate, minhash, packing
 
 
 def _table(spark, sf_dir, name):
@@ -38,12 +38,17 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(words.n_hit, 0)::BIGINT A
 FROM dw d LEFT JOIN words USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
+def op2_minhash_near_dedup(spark, sf_dir):
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op3_best_fit_packing(spark, sf_dir):
     packed = packing.pack(_table(spark, sf_dir, "documents"))
     return packed.select(F.col("row.doc_id").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 QUERIES = {
+    "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
 }
