@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, minhash, packing
+from . import decontaminate, minhash, packing, repeats
 
 
 def _table(spark, sf_dir, name):
@@ -47,7 +47,13 @@ def op3_best_fit_packing(spark, sf_dir):
     return packed.select(F.col("row.doc_id").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op10_suffix_array_dedup(spark, sf_dir):
+    found = repeats.repeated_passages(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 QUERIES = {
+    "op10_suffix_array_dedup": op10_suffix_array_dedup,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
