@@ -7,35 +7,37 @@ from pyspark.sql import functions as F
 
 from .scratch import Scratch
 
-
-def _is_stars(edges: DataFrame) -> bool:
-    """True if each larger end has one edge and no smaller end is a larger end as well."""
-    chained = edges.select(F.col("b").alias("a")).distinct().join(edges.select("a").distinct(), "a", "left_semi")
-    once = edges.groupBy("a").count().where("count > 1").select("a")
-    return not chained.select("a").union(once).limit(1).count()
+ROWS_PER_TASK = 50_000
 
 
 def connected_components(edges: DataFrame, scratch: Scratch, max_rounds: int = 60) -> DataFrame:
     """(a, b) edges of long ids -> (id, component) of each id that has an edge to another one.
 
     component is the smallest reachable id. Self-loops, repeats and nulls count as nothing; an empty table gives
-    an empty table. Each round reduces by key with map-side combining and joins two shuffled sides, which adaptive
-    execution splits where one id has very many edges.
+    an empty table. A round points each id at the least of its neighbours (large star), then at the least of what
+    those points share (small star), until only stars are left. It reduces by key with map-side combining; where one id
+    has very many edges, the join has two shuffled sides, which adaptive execution splits. Tasks follow the rows.
     """
-    edges = scratch.write(
-        edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    )
+    edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    edges = scratch.write(edges)
     for _ in range(max_rounds):
-        if _is_stars(edges):
-            break
+        rows = edges.count()
+        tasks = 8 + rows // ROWS_PER_TASK
         both = edges.union(edges.select(F.col("b"), F.col("a")))
         least = both.groupBy("a").agg(F.min("b").alias("m"))
-        least = scratch.write(least.select(F.col("a").alias("b"), F.least("m", "a").alias("m")))
-        large = scratch.write(edges.join(least, "b").select("a", F.col("m").alias("b")).where("a <> b").distinct())
-        least2 = scratch.write(large.groupBy("a").agg(F.min("b").alias("m")))
-        moved = large.join(least2, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        new = scratch.write(moved.union(least2.select("a", F.col("m").alias("b"))).distinct())
-        scratch.free(edges, least, large, least2)
+        least = scratch.write(least.select(F.col("a").alias("b"), F.least("m", "a").alias("m")).coalesce(tasks))
+        large = edges.join(least, "b").select("a", F.col("m").alias("b"), (F.col("m") != F.col("b")).alias("moved"))
+        large = scratch.write(large.coalesce(tasks))
+        state = large.groupBy("a").agg(F.max("moved").alias("moved"), F.count("*").alias("n"))
+        moved, n = state.agg(F.max("moved"), F.max("n")).first()
+        if not rows or (not moved and n == 1):
+            scratch.free(least, large)
+            break
+        least2 = large.groupBy("a").agg(F.min("b").alias("m"))
+        other = large.join(least2, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        new = other.union(least2.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
+        new = scratch.write(new.coalesce(tasks))
+        scratch.free(edges, least, large)
         edges = new
     else:
         raise RuntimeError("components did not settle")

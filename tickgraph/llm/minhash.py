@@ -15,6 +15,7 @@ from .scratch import Scratch
 
 KEY_BITS = 52
 KEY_MASK = B.U64((1 << KEY_BITS) - 1)
+BITS = 1024
 MOST_TEXTS = 1 << (64 - KEY_BITS)
 
 
@@ -86,6 +87,16 @@ def band_keys(signatures: np.ndarray, bands: int) -> np.ndarray:
     return h.view(np.int64)
 
 
+def bitmaps(keys: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A bitmap of BITS bits of each set: a bit that one set has and another has not stands for a member it lacks."""
+    texts = len(at) - 1
+    bit = keys % B.U64(BITS)
+    cell = np.repeat(np.arange(texts), np.diff(at)) * (BITS // 64) + (bit >> B.U64(6)).astype(np.int64)
+    out = np.zeros(texts * (BITS // 64), B.U64)
+    np.bitwise_or.at(out, cell, B.U64(1) << (bit & B.U64(63)))
+    return out.view(np.int64)
+
+
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in B.pieces_of(batch, "text"):
@@ -94,7 +105,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def signatures(docs: DataFrame, size: int = 5, hashes: int = 128, bands: int = 32) -> DataFrame:
-    """(doc_id, n_shingles, set_a, set_b, bands): set_a and set_b are equal for equal sets."""
+    """(doc_id, n_shingles, set_a, set_b, bands, bits): set_a and set_b are equal for equal sets."""
 
     def run(batches):
         for part in _runs(batches):
@@ -107,11 +118,13 @@ def signatures(docs: DataFrame, size: int = 5, hashes: int = 128, bands: int = 3
                     sums.append((total[at[1:]] - total[at[:-1]]).view(np.int64))
             keyed = band_keys(super_minhash(keys, at, hashes), bands)
             listed = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * bands, pa.int32()), pa.array(keyed.reshape(-1)))
-            columns = [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(sums[0]), pa.array(sums[1]), listed]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "set_a", "set_b", "bands"])
+            ends = pa.array(np.arange(len(n) + 1) * (BITS // 64), pa.int32())
+            bits = pa.ListArray.from_arrays(ends, pa.array(bitmaps(keys, at)))
+            columns = [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(sums[0]), pa.array(sums[1]), listed, bits]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "set_a", "set_b", "bands", "bits"])
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return source.mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>")
+    return source.mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, bits array<long>")
 
 
 def _full_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
@@ -128,8 +141,10 @@ def _full_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
     return source.join(ids, "doc_id", "left_semi").mapInArrow(run, "doc_id long, members binary")
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, part: int, whole: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, part: int, whole: int, scratch: Scratch) -> DataFrame:
     """The pairs (a, b) with whole * |intersection| >= part * |union| on full sets."""
+    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    sets = scratch.write(_full_sets(docs, ids, size).dropDuplicates(["doc_id"]))
 
     def run(batches):
         for batch in batches:
@@ -153,10 +168,12 @@ def near_duplicates(docs: DataFrame, part: int = 75, whole: int = 100, size: int
     """(doc_id, n_shingles, component_id, kept): components of documents linked at Jaccard similarity part / whole or more.
 
     Equal sets are one class, represented by its smallest doc_id; only representatives are banded. In each bucket all
-    are first compared with its smallest member, on full sets; what these links leave apart is then compared pair by
-    pair, between different components of a bucket only and within the lengths that the similarity allows. So a large
-    group of near copies costs rows in proportion to its size, and no candidate of a bucket is left out. With 32 bands
-    of 4 a pair at similarity 0.75 shares no bucket with a probability of 5e-6; closer pairs much less.
+    are first compared, on full sets, with its centre, the member that shares most buckets with others: rows in
+    proportion to the bucket, and nearly all links of a group of near copies. What these links leave apart is then
+    compared pair by pair, between different components of a bucket only, within the lengths that the similarity
+    allows and where an exact bound on the intersection, from bitmaps of both sets, still allows it. No candidate of a
+    bucket is left out otherwise. With 32 bands of 4 a pair at similarity 0.75 shares no bucket with a probability of
+    5e-6; closer pairs much less.
 
     Null or empty texts have no shingles and link with nothing. Ties go to the smallest doc_id. Repeated rows are
     returned each, with equal values. A null doc_id is no representative; its component is its class's, or null. An
@@ -169,31 +186,43 @@ def near_duplicates(docs: DataFrame, part: int = 75, whole: int = 100, size: int
     classes = scratch.write(classes.where("rep is not null"))
     reps = full.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
     buckets = scratch.write(reps.select("doc_id", "n_shingles", F.explode("bands").alias("key")))
-    first = buckets.groupBy("key").agg(F.min(F.struct("doc_id", "n_shingles")).alias("c"), F.max("doc_id").alias("last"))
-    first = scratch.write(first.where("last > c.doc_id").select("key", F.col("c.doc_id").alias("a"), F.col("c.n_shingles").alias("m")))
+    sizes = scratch.write(buckets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    shared = scratch.write(buckets.join(sizes, "key"))
+    central = shared.groupBy("doc_id").agg(F.sum("n").alias("rank"))
+    ranked = scratch.write(shared.drop("n").join(central, "doc_id"))
+    centre = ranked.groupBy("key").agg(F.max(F.struct("rank", (-F.col("doc_id")).alias("a"), "n_shingles")).alias("c"))
+    centre = scratch.write(centre.select("key", (-F.col("c.a")).alias("a"), F.col("c.n_shingles").alias("m")))
 
     def fits(m, n):
         return (F.lit(whole) * F.least(m, n)) >= (F.lit(part) * F.greatest(m, n))
 
-    shared = scratch.write(buckets.join(first, "key"))
-    pairs = shared.where((F.col("doc_id") != F.col("a")) & fits(F.col("m"), F.col("n_shingles")))
-    pairs = scratch.write(pairs.select("a", F.col("doc_id").alias("b")).distinct())
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    links = scratch.write(_confirmed(pairs, scratch.write(_full_sets(docs, ids, size)), part, whole))
+    pairs = ranked.join(centre, "key").where((F.col("doc_id") != F.col("a")) & fits(F.col("m"), F.col("n_shingles")))
+    pairs = pairs.select(F.least("a", "doc_id").alias("a"), F.greatest("a", "doc_id").alias("b")).distinct()
+    links = scratch.write(_confirmed(scratch.write(pairs), docs, size, part, whole, scratch))
     parts = scratch.write(connected_components(links, scratch))
 
-    placed = shared.select("key", "doc_id", "n_shingles").join(parts.withColumnRenamed("id", "doc_id"), "doc_id", "left")
+    placed = ranked.select("key", "doc_id").join(parts.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     placed = scratch.write(placed.withColumn("component", F.coalesce("component", "doc_id")))
     mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     mixed = scratch.write(mixed.where("low < high").select("key"))
     left = placed.join(mixed, "key", "left_semi")
-    right = left.select("key", F.col("doc_id").alias("b"), F.col("n_shingles").alias("m"), F.col("component").alias("other"))
-    rest = left.join(right, "key").where((F.col("component") < F.col("other")) & fits(F.col("m"), F.col("n_shingles")))
-    rest = rest.select(F.least("doc_id", "b").alias("a"), F.greatest("doc_id", "b").alias("b")).distinct()
-    rest = scratch.write(rest.join(pairs, ["a", "b"], "left_anti"))
+    left = scratch.write(left.join(signed.select("doc_id", "n_shingles", "bits").dropDuplicates(["doc_id"]), "doc_id"))
+    right = left.select("key", *[F.col(c).alias(f"other_{c}") for c in ("doc_id", "n_shingles", "bits", "component")])
+
+    def lacking(mine, other):
+        return f"aggregate(zip_with({mine}, {other}, (x, y) -> bit_count(x & ~y)), 0, (s, v) -> s + v)"
+
+    both = F.least(
+        F.col("n_shingles") - F.expr(lacking("bits", "other_bits")), F.col("other_n_shingles") - F.expr(lacking("other_bits", "bits"))
+    )
+    total = F.col("n_shingles") + F.col("other_n_shingles")
+    may = F.lit(whole + part) * both >= F.lit(part) * total
+    apart = F.col("component") < F.col("other_component")
+    rest = left.join(right, "key").where(apart & fits(F.col("n_shingles"), F.col("other_n_shingles")) & may)
+    rest = rest.select(F.least("doc_id", "other_doc_id").alias("a"), F.greatest("doc_id", "other_doc_id").alias("b"))
+    rest = scratch.write(rest.distinct())
     if rest.limit(1).count():
-        ids = rest.select(F.col("a").alias("doc_id")).union(rest.select("b")).distinct()
-        more = scratch.write(_confirmed(rest, scratch.write(_full_sets(docs, ids, size)), part, whole))
+        more = scratch.write(_confirmed(rest, docs, size, part, whole, scratch))
         if more.limit(1).count():
             parts = connected_components(links.union(more), scratch)
     named = classes.join(parts.withColumnRenamed("id", "rep"), "rep", "left")
