@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, minhash, packing, repeats
+from . import decontaminate, minhash, packing, quality, repeats, toxicity
 
 
 def _table(spark, sf_dir, name):
@@ -52,7 +52,17 @@ def op10_suffix_array_dedup(spark, sf_dir):
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op7_quality_classifier(spark, sf_dir):
+    return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op8_toxicity(spark, sf_dir):
+    return toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
+    "op7_quality_classifier": op7_quality_classifier,
+    "op8_toxicity": op8_toxicity,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_best_fit_packing": op3_best_fit_packing,
