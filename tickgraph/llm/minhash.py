@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from . import bytescan as B
 from .components import connected_components
+from .idfilter import IdFilter
 from .scratch import Scratch
 
 KEY_BITS = 52
@@ -128,17 +129,25 @@ def signatures(docs: DataFrame, size: int = 5, hashes: int = 128, bands: int = 3
 
 
 def _full_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """(doc_id, members) of the documents named in ids: the full set as sorted 8-byte words."""
+    """(doc_id, members) of the documents named in ids: the full set as sorted 8-byte words.
 
-    def run(batches):
-        for part in _runs(batches):
-            keys, at = shingle_sets(*B.texts_of(part.column("text")), size)
-            blob = keys.astype("<u8").tobytes()
-            members = pa.array([blob[8 * a : 8 * b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), members], ["doc_id", "members"])
+    The scan itself leaves out what a bitmap of the ids rules out, so that no text is shuffled.
+    """
+    chosen = IdFilter(ids, "doc_id")
 
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return source.join(ids, "doc_id", "left_semi").mapInArrow(run, "doc_id long, members binary")
+    def run(batches):
+        for batch in batches:
+            rows = np.flatnonzero(chosen_may(bitmap.value, batch.column("place").to_numpy()))
+            for part in _runs([batch.take(pa.array(rows))] if len(rows) else []):
+                keys, at = shingle_sets(*B.texts_of(part.column("text")), size)
+                blob = keys.astype("<u8").tobytes()
+                members = pa.array([blob[8 * a : 8 * b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), members], ["doc_id", "members"])
+
+    bitmap, chosen_may = chosen.bitmap, IdFilter.may
+    source = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    sets = source.withColumn("place", chosen.place("doc_id")).mapInArrow(run, "doc_id long, members binary")
+    return sets.join(ids, "doc_id", "left_semi")
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, part: int, whole: int, scratch: Scratch) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, minhash, packing, quality, repeats, toxicity
+from . import decontaminate, embeddings, minhash, packing, quality, repeats, toxicity
 
 
 def _table(spark, sf_dir, name):
@@ -38,6 +38,10 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(words.n_hit, 0)::BIGINT A
 FROM dw d LEFT JOIN words USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
+def op1_embedding_near_dedup(spark, sf_dir):
+    return embeddings.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op2_minhash_near_dedup(spark, sf_dir):
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -61,6 +65,7 @@ def op8_toxicity(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_embedding_near_dedup": op1_embedding_near_dedup,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_toxicity": op8_toxicity,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
