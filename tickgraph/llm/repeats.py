@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytescan as B
+from .idfilter import IdFilter
 from .runindex import RunIndex
 from .scratch import Scratch
 
@@ -64,34 +65,58 @@ def _anchor_rows(source: DataFrame, length: int) -> DataFrame:
     return source.mapInArrow(run, "a long, t long, pos int")
 
 
-def _contexts(work: DataFrame, length: int, with_bytes: bool) -> DataFrame:
-    """(a, c, t, pos, lead[, bytes]): what lies within reach of each shared anchor; c is equal for equal contexts."""
+def _mixed(keys: np.ndarray, bits: int) -> np.ndarray:
+    """Where a hash stands in a bitmap; the same in _placed as a column."""
+    return (keys & B.U64(bits - 1)).astype(np.int64)
+
+
+class HashFilter(IdFilter):
+    """An id filter of values that are hashes already: their low bits are their places."""
+
+    def place(self, column):
+        return F.col(column).bitwiseAND(F.lit(self.bits - 1))
+
+
+def _contexts(source: DataFrame, length: int, shared: HashFilter, wanted: HashFilter | None = None) -> DataFrame:
+    """(a, c, t, pos, lead[, bytes]): what lies within reach of each anchor that may be shared.
+
+    c is equal for equal contexts. With `wanted`, a filter of c, the bytes come too, once for each c and task.
+    """
     reach = length - SEED
+    bitmap, bits = shared.bitmap, shared.bits
+    second, second_bits = (wanted.bitmap, wanted.bits) if wanted else (None, 0)
 
     def run(batches):
+        given: set[int] = set()
         for batch in batches:
             for part in B.pieces_of(batch, "text"):
                 data, offsets = B.texts_of(part.column("text"))
-                places = part.column("places").to_pylist()
-                text = np.repeat(np.arange(len(places)), [len(p) for p in places])
-                if not len(text):
-                    continue
-                pos = np.fromiter((p for x in places for p in x), np.int64, len(text))
+                places, seeds = anchors(data, offsets, length)
+                keep = IdFilter.may(bitmap.value, _mixed(seeds, bits))
+                places, seeds = places[keep], seeds[keep]
+                text = np.searchsorted(offsets, places, side="right") - 1
                 begin, end = offsets[text], offsets[text + 1]
-                start, stop = np.maximum(pos + begin - reach, begin), np.minimum(pos + begin + length, end)
-                seeds = B.span_hashes(data, pos + begin, pos + begin + SEED)
-                lead = pos + begin - start
+                start, stop = np.maximum(places - reach, begin), np.minimum(places + length, end)
+                lead = places - start
                 c = B.splitmix(B.span_hashes(data, start, stop) ^ B.splitmix(seeds) ^ B.splitmix(lead.astype(np.uint64)))
-                columns = [pa.array(seeds.view(np.int64)), pa.array(c.view(np.int64)), part.column("t").take(pa.array(text)), pa.array(pos.astype(np.int32)), pa.array(lead.astype(np.int32))]
-                names = ["a", "c", "t", "pos", "lead"]
-                if with_bytes:
+                rows = np.arange(len(c))
+                if second is not None:
+                    _, first = np.unique(c, return_index=True)
+                    rows = np.sort(first[IdFilter.may(second.value, _mixed(c[first], second_bits))])
+                    rows = np.array([r for r in rows.tolist() if int(c[r]) not in given], np.int64)
+                    given.update(c[rows].tolist())
+                columns = [pa.array(seeds[rows].view(np.int64)), pa.array(c[rows].view(np.int64)), part.column("t").take(pa.array(text[rows]))]
+                columns += [pa.array((places - begin)[rows].astype(np.int32)), pa.array(lead[rows].astype(np.int32))]
+                columns.append(pa.array((stop - start)[rows].astype(np.int32)))
+                names = ["a", "c", "t", "pos", "lead", "size"]
+                if second is not None:
                     blob = data.tobytes()
-                    columns.append(pa.array([blob[i:j] for i, j in zip(start.tolist(), stop.tolist(), strict=True)], pa.binary()))
+                    columns.append(pa.array([blob[i:j] for i, j in zip(start[rows].tolist(), stop[rows].tolist(), strict=True)], pa.binary()))
                     names.append("bytes")
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    schema = "a long, c long, t long, pos int, lead int" + ", bytes binary" * with_bytes
-    return work.mapInArrow(run, schema)
+    schema = "a long, c long, t long, pos int, lead int, size int" + ", bytes binary" * (wanted is not None)
+    return source.mapInArrow(run, schema)
 
 
 def _spans(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -99,50 +124,90 @@ def _spans(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
+def _neighbours(keys: np.ndarray, rows: list[bytes], width: int) -> np.ndarray:
+    """The longest prefix that each row shares with another row of its key, from neighbours in sorted order."""
+    n = len(rows)
+    m = np.zeros((n, width), np.uint8)
+    for k, r in enumerate(rows):
+        m[k, : len(r)] = np.frombuffer(r, np.uint8) + np.uint8(1)  # UTF-8 has no byte 255; 0 is the end
+    order = np.lexsort((np.ascontiguousarray(m).view(f"S{width}").reshape(-1), keys))
+    same = keys[order[1:]] == keys[order[:-1]]
+    equal = (m[order[1:]] == m[order[:-1]]) & (m[order[1:]] > 0)
+    common = np.where(equal.all(axis=1), width, np.argmin(equal, axis=1)) * same
+    out = np.zeros(n, np.int64)
+    np.maximum.at(out, order[1:], common)
+    np.maximum.at(out, order[:-1], common)
+    return out
+
+
 def indexed_marks(rows: list[tuple], length: int) -> list[tuple[int, list[int], list[int]]]:
     """(c, starts, ends) for contexts (a, c, t, pos, lead, bytes): repeated strings, by their bytes relative to the anchor.
 
-    Overlapping contexts of one text are joined, so that each place of the corpus is indexed once.
+    A repeated string holds the anchor in all its contexts, so a context is first cut to what it shares with another one
+    of its anchor on either side; what is then shorter than a string is out, and what is then equal is repeated as it
+    is. The others go into the run-length index; overlapping ones of one text are joined, so that each place of the
+    corpus is indexed once.
     """
+    seen: set[int] = set()
+    rows = [r for r in rows if not (r[1] in seen or seen.add(r[1]))]
+    if not rows:
+        return []
+    keys = np.array([r[0] for r in rows], np.int64)
+    left = _neighbours(keys, [r[5][: r[4]][::-1] for r in rows], length)
+    right = _neighbours(keys, [r[5][r[4] :] for r in rows], length)
+    out, cut = [], {}
+    for r, lo, hi in zip(rows, left.tolist(), right.tolist(), strict=True):
+        if lo + hi >= length:
+            cut.setdefault((r[0], lo, r[5][r[4] - lo : r[4] + hi]), []).append(r)
+    lone = False
+    parts: list[tuple] = []
+    for (_, lo, content), own in cut.items():
+        parts.append((own[0][2], own[0][3] - lo, content, own[0][1] if len(own) == 1 else None, lo))
+        lone |= len(own) == 1
+        if len(own) > 1:
+            out += [(r[1], [-lo], [len(content) - lo]) for r in own]
+    if not lone:
+        return out
+    parts.sort(key=lambda p: p[:2])
     segments: list[bytearray] = []
-    base: dict[int, tuple[int, int]] = {}
-    rows = sorted(rows, key=lambda r: (r[2], r[3] - r[4]))
-    for _, own in groupby(rows, key=lambda r: r[2]):
+    base: list[tuple[int, int]] = []
+    for _, group in groupby(parts, key=lambda p: p[0]):
         begin = end = None
-        for _, c, _, pos, lead, content in own:
-            start = pos - lead
+        for _, start, content, _, _ in group:
             if end is None or start > end:
                 segments.append(bytearray())
                 begin = end = start
-            base[c] = (len(segments) - 1, start - begin)
+            base.append((len(segments) - 1, start - begin))
             segments[-1] += content[end - start :]
             end = max(end, start + len(content))
     index = RunIndex([bytes(s) for s in segments], length)
     found = index.matches()
-    out = []
-    for _, c, _, _, lead, content in rows:
-        segment, at = base[c]
-        at += int(index.starts[segment])
-        hit = found[at : at + len(content) - length + 1]
-        if hit.any():
-            lo, hi = _spans(hit)
-            out.append((c, (lo - lead).tolist(), (hi - 1 + length - lead).tolist()))
+    for (segment, at), (_, _, content, c, lead) in zip(base, parts, strict=True):
+        if c is not None:
+            at += int(index.starts[segment])
+            hit = found[at : at + len(content) - length + 1]
+            if hit.any():
+                lo, hi = _spans(hit)
+                out.append((c, (lo - lead).tolist(), (hi - 1 + length - lead).tolist()))
     return out
 
 
 MARKS = "c long, starts array<int>, ends array<int>"
 
 
-def _marks(contexts: DataFrame, length: int, most_bytes: int, most_in_anchor: int, scratch: Scratch) -> DataFrame:
-    """(c, starts, ends) for the distinct contexts that hold repeated strings."""
-    columns = ["a", "c", "bytes", "lead"]
-    distinct = contexts.withColumn("u", F.struct("t", "pos")).groupBy(*columns).agg(F.min("u").alias("u"), F.max("u").alias("v"))
-    distinct = scratch.write(distinct.select(*columns, "u.t", "u.pos", (F.col("u") != F.col("v")).alias("many")))
-    sizes = scratch.write(distinct.groupBy("a").agg(F.count("*").alias("n")))
-    known = distinct.where("many").select("c", F.array((-F.col("lead")).cast("int")).alias("starts"), F.array((F.length("bytes") - F.col("lead")).cast("int")).alias("ends"))
-    open_ = distinct.where(F.length("bytes") >= length)
-    few = open_.join(sizes.where((F.col("n") > 1) & (F.col("n") <= most_in_anchor)).select("a"), "a", "left_semi")
-    many = open_.join(sizes.where(F.col("n") > most_in_anchor).select("a"), "a", "left_semi")
+def _marks(source: DataFrame, classes: DataFrame, length: int, shared: HashFilter, most_bytes: int, most_in_anchor: int, scratch: Scratch) -> DataFrame:
+    """(c, starts, ends) for the contexts that hold repeated strings."""
+    sizes = scratch.write(classes.groupBy("a").agg(F.count("*").alias("n")).where("n > 1"))
+    known = classes.where("many").select("c", F.array((-F.col("lead")).cast("int")).alias("starts"), F.array((F.col("size") - F.col("lead")).cast("int")).alias("ends"))
+    among = scratch.write(classes.join(sizes.select("a"), "a", "left_semi").select("c"))
+    contexts = _contexts(source, length, shared, HashFilter(among, "c"))
+    crowds = scratch.write(sizes.where(F.col("n") > most_in_anchor).select("a"))
+    crowded = crowds.limit(1).count() > 0
+    if crowded:
+        contexts = scratch.write(contexts)
+        many = contexts.join(crowds, "a", "left_semi").groupBy("c").agg(F.first(F.struct("a", "lead", "bytes")).alias("x")).select("c", "x.*")
+        many = scratch.write(many)
+        contexts = contexts.join(crowds, "a", "left_anti")
 
     def index(batches):
         held: list[tuple] = []
@@ -172,15 +237,29 @@ def _marks(contexts: DataFrame, length: int, most_bytes: int, most_in_anchor: in
                 columns_ = [pa.array(h.view(np.int64)), pa.array(np.full(len(at), c)), pa.array(at.astype(np.int32))]
                 yield pa.RecordBatch.from_arrays(columns_, ["w", "c", "at"])
 
-    dealt = few.select("a", "c", "t", "pos", "lead", "bytes").repartition("a").sortWithinPartitions("a", "c")
-    marked = dealt.mapInArrow(index, MARKS)
+    dealt = contexts.select("a", "c", "t", "pos", "lead", "bytes").repartition("a").sortWithinPartitions("a", "c")
+    marked = known.unionByName(dealt.mapInArrow(index, MARKS))
+    if not crowded:
+        return scratch.write(marked)
     each = many.select("c", "a", "bytes").mapInArrow(windows, "w long, c long, at int")
     each = each.join(many.select("c", "lead"), "c").select("w", "c", (F.col("at") - F.col("lead")).alias("at"))
-    shared = each.groupBy("w", "at").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y")
-    shared = scratch.write(shared.select("w", "at"))
-    crowded = each.join(shared, ["w", "at"], "left_semi").groupBy("c").agg(F.sort_array(F.collect_list("at")).alias("starts"))
-    crowded = crowded.select("c", "starts", F.transform("starts", lambda s: s + length).alias("ends"))
-    return scratch.write(known.unionByName(marked).unionByName(crowded))
+    common = each.groupBy("w", "at").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y")
+    common = scratch.write(common.select("w", "at"))
+    repeated = each.join(common, ["w", "at"], "left_semi").groupBy("c").agg(F.sort_array(F.collect_list("at")).alias("starts"))
+    repeated = repeated.select("c", "starts", F.transform("starts", lambda s: s + length).alias("ends"))
+    return scratch.write(marked.unionByName(repeated))
+
+
+def _chosen(source: DataFrame, chosen: HashFilter) -> DataFrame:
+    """The texts whose hash may be among the chosen ones, so that the others are not shuffled."""
+    bitmap, bits = chosen.bitmap, chosen.bits
+
+    def run(batches):
+        for batch in batches:
+            places = batch.column("t").to_numpy().view(np.uint64)
+            yield batch.take(pa.array(np.flatnonzero(IdFilter.may(bitmap.value, _mixed(places, bits)))))
+
+    return source.mapInArrow(run, "t long, text string")
 
 
 def _removed(joined: DataFrame) -> DataFrame:
@@ -215,11 +294,11 @@ def repeated_passages(docs: DataFrame, length: int = 200, most_bytes: int = 3 <<
     in one document or in several; strings are judged on the input and never cross documents.
 
     Copies of a whole text are one text (all of it is repeated). Each string has an anchor, its leftmost least seed of
-    32 bytes, so only texts with an anchor that occurs twice are looked at, and there only what lies within reach of
-    such anchors. Contexts that occur at two places are repeated as they are. The others, anchor by anchor, go into
-    run-length indexes (see runindex) of about `most_bytes`, whose streamed matching statistics mark the repeated
-    strings. An anchor with more than `most_in_anchor` different contexts is no task's group: the hashes of its
-    strings are counted over all executors instead.
+    32 bytes, so only what lies within reach of an anchor that occurs twice is looked at; a bitmap of such anchors, of
+    bounded size, tells the scan which. Contexts that occur at two places are repeated as they are. The others, anchor
+    by anchor, are cut and go into run-length indexes (see indexed_marks, runindex) of about `most_bytes`, whose
+    streamed matching statistics mark the repeated strings. An anchor with more than `most_in_anchor` different
+    contexts is no task's group: the hashes of its strings are counted over all executors instead.
 
     Null text counts as empty; texts shorter than `length` lose nothing. Repeated rows are copies. Null ids stay. An
     empty table gives no rows; extra columns are ignored.
@@ -228,21 +307,21 @@ def repeated_passages(docs: DataFrame, length: int = 200, most_bytes: int = 3 <<
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     source = docs.select("doc_id", text.alias("text")).withColumn("t", F.xxhash64("text"))
     facts = source.select("doc_id", "t", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("own_sha256"))
-    texts = scratch.write(facts.where(F.col("n_bytes") >= length).groupBy("t").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
-    rows = _anchor_rows(source.select("t", "text"), length)
+    texts = scratch.write(facts.where(F.col("n_bytes") >= length).groupBy("t").agg(F.count("*").alias("copies")))
+    texts_only = source.select("t", "text")
+    rows = _anchor_rows(texts_only, length)
     place = F.xxhash64("t", "pos")
-    shared = scratch.write(rows.groupBy("a").agg(F.min(place).alias("x"), F.max(place).alias("y")).where("x <> y").select("a"))
-    needs = rows.join(shared, "a", "left_semi").groupBy("t").agg(F.sort_array(F.collect_set("pos")).alias("places"))
-    needs = scratch.write(needs.join(texts.select("t", "rep"), "t"))
-    wanted = needs.select("t", F.col("rep").alias("doc_id"), "places")
-    one = source.join(wanted, (source["t"] == wanted["t"]) & source["doc_id"].eqNullSafe(wanted["doc_id"]))
-    work = scratch.write(one.select(source["t"], "text", "places"))
-    marks = _marks(_contexts(work, length, True), length, most_bytes, most_in_anchor, scratch)
-    found = _contexts(work, length, False).join(marks, "c").select("t", "pos", "starts", "ends").distinct()
-    found = found.groupBy("t").agg(F.collect_list(F.struct("pos", "starts", "ends")).alias("marks"))
+    twice = scratch.write(rows.groupBy("a").agg(F.min(place).alias("x"), F.max(place).alias("y")).where("x <> y").select("a"))
+    shared = HashFilter(twice, "a")
+    found = scratch.write(_contexts(texts_only, length, shared).select("a", "c", "t", "pos", "lead", "size"))
+    classes = found.withColumn("u", F.xxhash64("t", "pos")).groupBy("a", "c").agg(F.min("u").alias("u"), F.max("u").alias("v"), F.min("lead").alias("lead"), F.min("size").alias("size"))
+    classes = scratch.write(classes.select("a", "c", "lead", "size", (F.col("u") != F.col("v")).alias("many")))
+    marks = _marks(texts_only, classes, length, shared, most_bytes, most_in_anchor, scratch)
+    found = found.join(marks, "c").select("t", "pos", "starts", "ends").distinct()
+    found = scratch.write(found.groupBy("t").agg(F.collect_list(F.struct("pos", "starts", "ends")).alias("marks")))
     alone = texts.where("copies = 1").select("t")
-    single = work.join(found.join(alone, "t", "left_semi"), "t").select("t", "text", "marks")
-    spans = scratch.write(_removed(single))
+    single = scratch.write(found.join(alone, "t", "left_semi"))
+    spans = scratch.write(_removed(_chosen(texts_only, HashFilter(single, "t")).join(single, "t")))
     copied = texts.where("copies > 1").select("t", F.lit(True).alias("copied"))
     result = scratch.write(spans.join(copied, "t", "full_outer"))
     out = facts.join(result, "t", "left")
