@@ -281,13 +281,18 @@ class Model:
         cell, n = np.unique(text * self.features + feature, return_counts=True)
         return cell // self.features, cell % self.features, np.log1p(n)
 
-    def fit(self, text: np.ndarray, feature: np.ndarray, value: np.ndarray, y: np.ndarray, ridge: float = 0.3) -> None:
-        """Matches of one distance share a weight, to which each term adds its own; quotation counts a quarter of it."""
+    def fit(self, text: np.ndarray, feature: np.ndarray, value: np.ndarray, y: np.ndarray, bare: tuple[int, int], ridge: float = 0.3) -> None:
+        """Matches of one distance share a weight, to which each term adds its own; quotation counts a quarter of it.
+
+        y is of texts with matches; bare counts the clean and toxic texts without any, which are two rows with weights.
+        """
         kind = np.where(feature // 2 > 0, (feature // 2 - 1) % 3, 0)
         quoted = feature % 2 == 1
         terms = len(self.automaton.terms)
         own = np.where(feature // 2 > 0, 3 + feature // 2 - 1, 3)
         width = 3 + 3 * max(terms, 1)
+        times = np.concatenate([np.ones(len(y)), bare])
+        y = np.concatenate([y, [0.0, 1.0]])
         x = np.zeros((len(y), width + 1))
         scaled = value * np.where(quoted, 0.25, 1.0)
         np.add.at(x, (text, kind), scaled)
@@ -299,7 +304,7 @@ class Model:
         penalty[3:width] = 3 * ridge
         for _ in range(30):
             p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-            step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty), x.T @ (y - p) - penalty * w)
+            step = np.linalg.solve((x * (times * p * (1 - p))[:, None]).T @ x + np.diag(penalty), x.T @ (times * (y - p)) - penalty * w)
             w += step
             if np.abs(step).max() < 1e-6:
                 break
@@ -330,15 +335,16 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column, most: int = 20_000)
                 lists = [pa.ListArray.from_arrays(ends, pa.array(v)) for v in (feature.astype(np.int64), value)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), *lists], ["doc_id", "y", "feature", "value"])
 
-    rows = texts.mapInArrow(run, "doc_id long, y int, feature array<long>, value array<double>").orderBy("doc_id").collect()
-    if model.automaton.terms and rows:
+    found = scratch.write(texts.mapInArrow(run, "doc_id long, y int, feature array<long>, value array<double>"))
+    rows = found.where("size(feature) > 0").orderBy("doc_id").collect()
+    bare = {r["y"]: r["count"] for r in found.where("size(feature) = 0").groupBy("y").count().collect()}
+    if rows:
         text = np.repeat(np.arange(len(rows)), [len(r["feature"]) for r in rows])
         feature = np.array([f for r in rows for f in r["feature"]], np.int64)
         value = np.array([v for r in rows for v in r["value"]], np.float64)
-        model.fit(text, feature, value, np.array([r["y"] for r in rows], np.float64))
+        model.fit(text, feature, value, np.array([r["y"] for r in rows], np.float64), (bare.get(0, 0), bare.get(1, 0)))
     else:
-        y = [r["y"] for r in rows]
-        model.base = float(np.log((sum(y) + 0.5) / (len(y) - sum(y) + 0.5))) if y else -5.0
+        model.base = float(np.log((bare.get(1, 0) + 0.5) / (bare.get(0, 0) + 0.5))) if bare else -5.0
     return model
 
 
