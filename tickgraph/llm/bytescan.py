@@ -50,6 +50,17 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         return splitmix(h ^ splitmix((ends - starts).astype(U64)))
 
 
+def rolling_hashes(data: np.ndarray, width: int) -> np.ndarray:
+    """A 64-bit hash of each run of `width` bytes, at every place."""
+    n = len(data)
+    sums = np.zeros(n + 1, U64)
+    with np.errstate(over="ignore"):
+        np.cumsum(BYTE_CODE[data] * powers(BASE, n)[:n], out=sums[1:])
+        h = sums[width:] - sums[:-width]
+        h *= powers(BASE_INVERSE, n)[: n - width + 1]
+    return splitmix(h)
+
+
 def texts_of(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a string column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -7,6 +7,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +18,8 @@ from .scratch import Scratch
 
 #: Bytes that an anchor is chosen by.
 SEED = 32
+#: Bytes of text that a scan works on at once, whole texts at least.
+RUN_BYTES = 1 << 20
 EMPTY_SHA256 = hashlib.sha256(b"").hexdigest()
 
 
@@ -36,9 +39,9 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
     n = len(data)
     if n < length or not (np.diff(offsets) >= length).any():
         return np.zeros(0, np.int64), np.zeros(0, B.U64)
-    at = np.arange(n - SEED + 1)
-    seeds = B.span_hashes(data, at, at + SEED)
-    order = (seeds & B.U64(0xFFFFFFFF00000000)) | at.astype(np.uint64)
+    seeds = B.rolling_hashes(data, SEED)
+    order = seeds & B.U64(0xFFFFFFFF00000000)
+    order |= np.arange(len(seeds), dtype=np.uint64)
     least = (_sliding_min(order, length - SEED + 1) & B.U64(0xFFFFFFFF)).astype(np.int64)
     valid = np.zeros(n + 1, np.int64)
     whole = np.flatnonzero(np.diff(offsets) >= length)
@@ -55,7 +58,7 @@ def _anchor_rows(source: DataFrame, length: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part in B.pieces_of(batch, "text"):
+            for part in B.pieces_of(batch, "text", RUN_BYTES):
                 data, offsets = B.texts_of(part.column("text"))
                 places, seeds = anchors(data, offsets, length)
                 text = np.searchsorted(offsets, places, side="right") - 1
@@ -89,7 +92,7 @@ def _contexts(source: DataFrame, length: int, shared: HashFilter, wanted: HashFi
     def run(batches):
         given: set[int] = set()
         for batch in batches:
-            for part in B.pieces_of(batch, "text"):
+            for part in B.pieces_of(batch, "text", RUN_BYTES):
                 data, offsets = B.texts_of(part.column("text"))
                 places, seeds = anchors(data, offsets, length)
                 keep = IdFilter.may(bitmap.value, _mixed(seeds, bits))
@@ -269,15 +272,20 @@ def _removed(joined: DataFrame) -> DataFrame:
         for batch in batches:
             for part in B.pieces_of(batch, "text"):
                 data, offsets = B.texts_of(part.column("text"))
+                listed = part.column("marks")
+                flat = listed.flatten()
+                text_of = np.repeat(np.arange(len(part)), np.diff(listed.offsets.to_numpy()))
+                from_ = pc.struct_field(flat, "pos").to_numpy() + offsets[text_of] + text_of  # one place more for each text
+                depth = np.zeros(len(data) + len(part) + 1, np.int64)
+                for side, by in (("starts", 1), ("ends", -1)):
+                    inner = pc.struct_field(flat, side)
+                    at = np.repeat(from_, np.diff(inner.offsets.to_numpy())) + inner.flatten().to_numpy()
+                    depth += by * np.bincount(at, minlength=len(depth))
+                covered = np.cumsum(depth) > 0
                 rows: list[tuple] = []
-                for d, marks in enumerate(part.column("marks").to_pylist()):
+                for d in range(len(part)):
                     text = data[offsets[d] : offsets[d + 1]]
-                    depth = np.zeros(len(text) + 1, np.int32)
-                    for m in marks:
-                        pos = m["pos"]
-                        np.add.at(depth, np.array(m["starts"], np.int64) + pos, 1)
-                        np.add.at(depth, np.array(m["ends"], np.int64) + pos, -1)
-                    gone = np.cumsum(depth)[:-1] > 0
+                    gone = covered[offsets[d] + d : offsets[d + 1] + d]
                     lo, hi = _spans(gone)
                     rows.append((int(gone.sum()), hashlib.sha256(text[~gone].tobytes()).hexdigest(), lo.tolist(), hi.tolist()))
                 cols = list(zip(*rows, strict=True))
@@ -287,7 +295,7 @@ def _removed(joined: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, "t long, n_removed long, kept_sha256 string, starts array<long>, ends array<long>")
 
 
-def repeated_passages(docs: DataFrame, length: int = 200, most_bytes: int = 3 << 20, most_in_anchor: int = 4096) -> DataFrame:
+def repeated_passages(docs: DataFrame, length: int = 200, most_bytes: int = 3 << 20, most_in_anchor: int = 60_000) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, starts, ends) of each document.
 
     Removed is each UTF-8 byte covered by a string of `length` bytes that begins at two or more places of the corpus,
@@ -317,8 +325,9 @@ def repeated_passages(docs: DataFrame, length: int = 200, most_bytes: int = 3 <<
     classes = found.withColumn("u", F.xxhash64("t", "pos")).groupBy("a", "c").agg(F.min("u").alias("u"), F.max("u").alias("v"), F.min("lead").alias("lead"), F.min("size").alias("size"))
     classes = scratch.write(classes.select("a", "c", "lead", "size", (F.col("u") != F.col("v")).alias("many")))
     marks = _marks(texts_only, classes, length, shared, most_bytes, most_in_anchor, scratch)
-    found = found.join(marks, "c").select("t", "pos", "starts", "ends").distinct()
-    found = scratch.write(found.groupBy("t").agg(F.collect_list(F.struct("pos", "starts", "ends")).alias("marks")))
+    once = marks.groupBy("c").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"))
+    found = found.select("c", "t", "pos").join(scratch.write(once), "c")
+    found = scratch.write(found.groupBy("t").agg(F.collect_set(F.struct("pos", "starts", "ends")).alias("marks")))
     alone = texts.where("copies = 1").select("t")
     single = scratch.write(found.join(alone, "t", "left_semi"))
     spans = scratch.write(_removed(_chosen(texts_only, HashFilter(single, "t")).join(single, "t")))
