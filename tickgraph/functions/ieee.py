@@ -55,9 +55,17 @@ def differs(a: Column, b: Column) -> Column:
     return F.coalesce(F.isnan(a), F.lit(False)) | ~a.eqNullSafe(b)
 
 
+def let(x: Column, fn) -> Column:
+    """fn(x) with x worked out once, however often fn uses it: big expressions would double at every use."""
+    return F.element_at(F.transform(F.array(x), fn), 1)
+
+
 def erf(x) -> Column:
     """Error function, to about 1e-15: a power series near zero, a continued fraction far from it."""
-    x = col(x).cast("double")
+    return let(col(x).cast("double"), _erf)
+
+
+def _erf(x: Column) -> Column:
     a = F.abs(x)
     series = F.aggregate(
         F.sequence(F.lit(1), F.lit(60)),
@@ -78,5 +86,4 @@ def erfc_tail(a: Column) -> Column:
 
 
 def erfc(x) -> Column:
-    x = col(x).cast("double")
-    return F.when(x >= 2.5, erfc_tail(x)).otherwise(1.0 - erf(x))
+    return let(col(x).cast("double"), lambda v: F.when(v >= 2.5, erfc_tail(v)).otherwise(1.0 - _erf(v)))
