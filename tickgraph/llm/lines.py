@@ -9,12 +9,15 @@ from .scratch import Scratch
 
 BUCKETS = 1 << 16
 TOKEN_BITS = 47
-_SPACE = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def _words(text: str) -> str:
-    return f"filter(split(translate({text}, '{UPPER}', '{LOWER}'), '[\\\\x20\\\\x09-\\\\x0D]+'), w -> w <> '')"
+    """Words of a text: lower case, split at blanks, tabs and the like; empty ones are still among them."""
+    out = f"lower({text})"
+    for space in ("\\t", "\\r", "\\f", "\\u000B", "\\n"):
+        out = f"replace({out}, '{space}', ' ')"
+    return f"split({out}, ' ')"
 
 
 def _numbers(values: list[int], kind: str) -> Column:
@@ -28,8 +31,8 @@ def rarity_order(docs: DataFrame) -> list[int]:
     The order of tokens is that of their bucket, then of their hash: any one order of all tokens makes the prefix
     filter exact, and this one keeps frequent tokens last. What comes to the driver has one row for each bucket.
     """
-    hashed = F.expr(f"transform({_words('text')}, w -> cast(pmod(xxhash64(w), {BUCKETS}) as int))")
-    counts = docs.select(F.explode(hashed).alias("k")).groupBy("k").agg(F.count("*").alias("n")).collect()
+    words = docs.select(F.explode(F.expr(_words("text"))).alias("w")).where("w <> ''")
+    counts = words.groupBy(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).cast("int").alias("k")).agg(F.count("*").alias("n")).collect()
     count = dict(counts)
     order = sorted(range(BUCKETS), key=lambda k: (count.get(k, 0), k))
     rank = [0] * BUCKETS
@@ -44,18 +47,21 @@ def token_sets(docs: DataFrame, rank: list[int], least: int) -> DataFrame:
     s and t name the set: equal for lines of equal words.
     """
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    hashes = F.expr(f"transform({_words('line')}, w -> xxhash64(w))")
     mask = (1 << TOKEN_BITS) - 1
     table = _numbers(rank, "long")
-    keyed = F.transform(hashes, lambda h: F.shiftleft(F.get(table, F.pmod(h, F.lit(BUCKETS)).cast("int")), TOKEN_BITS).bitwiseOR(h.bitwiseAND(F.lit(mask))))
-    keys = F.sort_array(F.array_distinct(keyed))
+
+    def key(w: Column) -> Column:
+        h = F.xxhash64(w)
+        return F.shiftleft(F.get(table, F.pmod(h, F.lit(BUCKETS)).cast("int")), TOKEN_BITS).bitwiseOR(h.bitwiseAND(F.lit(mask)))
+
+    keys = F.sort_array(F.array_remove(F.array_distinct(F.transform(F.expr(_words("line")), key)), key(F.lit(""))))
     # a generator keeps the plan from working the array out once for each use
     sets = lines.select("doc_id", "line_no", F.explode(F.array(keys)).alias("keys")).where(F.size("keys") >= least)
     return sets.select("doc_id", "line_no", F.xxhash64("keys").alias("s"), F.hash("keys").alias("t"), F.size("keys").alias("n"), "keys")
 
 
-def _bitmap(ids: DataFrame, column: str, bits: int = 1 << 22) -> tuple[Column, int]:
-    """A constant bitmap of hashed values, of 2^22 bits at any size of the input: it saves work and decides nothing."""
+def _bitmap(ids: DataFrame, column: str, bits: int = 1 << 23) -> tuple[Column, int]:
+    """A constant bitmap of hashed values, of 2^23 bits at any size of the input: it saves work and decides nothing."""
     place = F.pmod(F.xxhash64(column), F.lit(bits))
     spots = ids.select(place.alias("p")).select(F.shiftright("p", 6).cast("int").alias("w"), F.expr("shiftleft(1L, cast(p & 63 as int))").alias("b"))
     words = dict(spots.groupBy("w").agg(F.bit_or("b").alias("b")).collect())
@@ -71,12 +77,14 @@ def _may(bitmap: tuple[Column, int], column: str) -> Column:
 def repeated_lines(docs: DataFrame, part: int = 75, whole: int = 100, least: int = 5) -> DataFrame:
     """(doc_id, removed): the numbers of the lines of a document that match an earlier line of the corpus.
 
-    Lines are split at newlines and compared as sets of words (A-Z lower-cased, split at white space); two match at a
+    Lines are split at newlines and compared as sets of words (lower case, split at white space of ASCII); two match at a
     Jaccard similarity of part / whole or more. Order is that of (doc_id, line number), null ids first; a line is
     removed if any earlier line matches it, whether that one stays or not. Lines with fewer than `least` distinct words
     always stay. Exact: tokens are ordered by rarity over the whole corpus; lines of equal words are one class, and only
     classes are joined, on the prefix tokens that two matching sets must share one of, within the lengths and
-    positions that allow the similarity; each candidate is then verified on both full sets.
+    positions that allow the similarity; each candidate is then verified on both full sets. First every class meets the
+    earliest candidate of its own, which settles most members of a group of near copies in one row each; the classes
+    that this leaves meet all their earlier candidates.
 
     A null or empty text has no line to remove. Rows that repeat an id are one document and are judged alike. An empty
     table gives no rows; extra columns are ignored.
@@ -86,33 +94,47 @@ def repeated_lines(docs: DataFrame, part: int = 75, whole: int = 100, least: int
     rank = rarity_order(docs)
     sets = token_sets(docs, rank, least)
     at = F.struct("doc_id", "line_no")
-    places = scratch.write(sets.select("s", "t", "doc_id", "line_no"))
+    prefix = F.col("n") - F.ceil(F.col("n") * part / whole).cast("int") + 1
+    meta = scratch.write(sets.select("s", "t", "doc_id", "line_no", "n", F.slice("keys", F.lit(1), prefix).alias("prefix")))
+    places = meta.select("s", "t", "doc_id", "line_no")
     classes = scratch.write(places.groupBy("s", "t").agg(F.min(at).alias("first"), F.max(at).alias("last")))
 
-    prefix = F.col("n") - F.ceil(F.col("n") * part / whole).cast("int") + 1
-    posted = sets.select("s", "t", "n", F.posexplode(F.slice("keys", F.lit(1), prefix)).alias("pos", "token"))
-    posted = posted.groupBy("token", "s", "t").agg(F.min("n").alias("n"), F.min("pos").alias("pos"))
-    other = posted.select("token", *[F.col(c).alias(f"{c}2") for c in ("s", "t", "n", "pos")])
-    shared = F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2"))
-    fits = (whole * F.least("n", "n2") >= part * F.greatest("n", "n2")) & ((whole + part) * shared >= part * (F.col("n") + F.col("n2")))
-    once = (F.col("s") < F.col("s2")) | ((F.col("s") == F.col("s2")) & (F.col("t") < F.col("t2")))
-    pairs = posted.join(other, "token").where(once & fits).select("s", "t", "s2", "t2").distinct()
-    pairs = scratch.write(pairs)
-
-    ends = scratch.write(pairs.select("s", "t").union(pairs.select("s2", "t2")).distinct())
-    bitmap = _bitmap(ends, "s")
-    wanted = sets.where(_may(bitmap, "s")).select("s", "t", "keys").join(ends, ["s", "t"], "left_semi")
-    wanted = scratch.write(wanted.groupBy("s", "t").agg(F.min("keys").alias("keys")))
-    right = wanted.select(F.col("s").alias("s2"), F.col("t").alias("t2"), F.col("keys").alias("keys2"))
-    both = pairs.join(wanted, ["s", "t"]).join(right, ["s2", "t2"])
-    inter = F.size(F.array_intersect("keys", "keys2"))
-    matched = both.where((whole + part) * inter >= part * (F.size("keys") + F.size("keys2"))).select("s", "t", "s2", "t2")
-    matched = scratch.write(matched)
-    either = matched.union(matched.select("s2", "t2", "s", "t"))
-    firsts = classes.select("s", "t", "first")
-    earliest = either.join(firsts.select(F.col("s").alias("s2"), F.col("t").alias("t2"), F.col("first").alias("f")), ["s2", "t2"])
-    earliest = earliest.groupBy("s", "t").agg(F.min("f").alias("f"))
-    decided = classes.join(earliest, ["s", "t"], "left").withColumn("none", F.coalesce(F.col("f") < F.col("first"), F.lit(False)))
+    tokens = meta.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("k")).where("k > 1")
+    common = _bitmap(scratch.write(tokens.select("token")), "token")
+    posted = meta.select("s", "t", "n", F.posexplode("prefix").alias("pos", "token")).where(_may(common, "token"))
+    posted = scratch.write(posted.groupBy("token", "s", "t").agg(F.min("n").alias("n"), F.min("pos").alias("pos")))
+    posted = scratch.write(posted.join(classes.select("s", "t", F.col("first").alias("o")), ["s", "t"]))
+
+    def candidates(later: DataFrame, earlier: DataFrame) -> DataFrame:
+        """(s, t, s2, t2, o2): classes that may match and come before."""
+        earlier = earlier.select("token", *[F.col(c).alias(f"{c}2") for c in ("s", "t", "n", "pos", "o")])
+        shared = F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2"))
+        fits = (whole * F.least("n", "n2") >= part * F.greatest("n", "n2")) & ((whole + part) * shared >= part * (F.col("n") + F.col("n2")))
+        return later.join(earlier, "token").where((F.col("o2") < F.col("o")) & fits).select("s", "t", "s2", "t2", "o2")
+
+    earliest = posted.groupBy("token").agg(F.min(F.struct("o", "s", "t", "n", "pos")).alias("c"), F.count("*").alias("k")).where("k > 1")
+    earliest = scratch.write(earliest.select("token", "c.*"))
+    several = scratch.write(posted.join(earliest.select("token"), "token", "left_semi"))
+    first = candidates(several, earliest).groupBy("s", "t").agg(F.min(F.struct("o2", "s2", "t2")).alias("c"))
+    first = scratch.write(first.select("s", "t", "c.s2", "c.t2"))
+
+    def matching(pairs: DataFrame) -> DataFrame:
+        """(s, t) of the later classes of pairs that match on both full sets."""
+        ends = scratch.write(pairs.select("s", "t").union(pairs.select("s2", "t2")).distinct())
+        wanted = sets.where(_may(_bitmap(ends, "s"), "s")).select("s", "t", "keys").join(ends, ["s", "t"], "left_semi")
+        wanted = scratch.write(wanted.dropDuplicates(["s", "t"]))
+        right = wanted.select(F.col("s").alias("s2"), F.col("t").alias("t2"), F.col("keys").alias("keys2"))
+        both = pairs.join(wanted, ["s", "t"]).join(right, ["s2", "t2"])
+        inter = F.size(F.array_intersect("keys", "keys2"))
+        good = (whole + part) * inter >= part * (F.size("keys") + F.size("keys2"))
+        return scratch.write(both.where(good).select("s", "t").distinct())
+
+    settled = matching(first)
+    rest = candidates(several.join(settled, ["s", "t"], "left_anti"), several).select("s", "t", "s2", "t2").distinct()
+    rest = scratch.write(rest.join(first, ["s", "t", "s2", "t2"], "left_anti"))
+    more = matching(rest)
+    gone = settled.union(more).withColumn("none", F.lit(True))
+    decided = classes.join(gone, ["s", "t"], "left").withColumn("none", F.coalesce("none", F.lit(False)))
     decided = scratch.write(decided.where("none or first <> last").select("s", "t", "first", "none"))
     gone = places.join(decided, ["s", "t"]).where(F.col("none") | (at != F.col("first")))
     return gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("line_no")).alias("removed"))

@@ -78,7 +78,7 @@ def op9_language_id(spark, sf_dir):
 
 OP4_SQL = r"""
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS k FROM documents),
-s AS (SELECT doc_id, k, list_sort(list_distinct(list_filter(regexp_split_to_array(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> ''))) AS w FROM l),
+s AS (SELECT doc_id, k, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(line), '[\x20\x09-\x0D]+'), lambda w: w <> ''))) AS w FROM l),
 big AS (SELECT *, len(w) AS n FROM s WHERE len(w) >= 5),
 cls AS (SELECT w, n, min((doc_id, k)) AS f, row_number() OVER () AS c FROM big GROUP BY w, n),
 tok AS (SELECT c, n, f, unnest(w) AS t FROM cls),
