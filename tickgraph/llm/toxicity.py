@@ -21,6 +21,8 @@ QUOTES = "\"“”„«»‹›"
 _INNER = "*@$0123456789"
 
 CLASSES = 64
+#: Share of the weight of a match that 0, 1 or 2 errors leave.
+NEARNESS = np.array([1.0, 0.6, 0.35])
 _LETTER, _DIGIT_OR_SIGN = 1, 2
 
 
@@ -282,7 +284,9 @@ class Model:
         return cell // self.features, cell % self.features, np.log1p(n)
 
     def fit(self, text: np.ndarray, feature: np.ndarray, value: np.ndarray, y: np.ndarray, bare: tuple[int, int], ridge: float = 0.3) -> None:
-        """Matches of one distance share a weight, to which each term adds its own; quotation counts a quarter of it.
+        """All matches share a weight, less for more errors (NEARNESS); what errors and terms add to it is learned too.
+
+        So a misspelling that no labelled text has is evidence as well. Quotation counts a quarter.
 
         y is of texts with matches; bare counts the clean and toxic texts without any, which are two rows with weights.
         """
@@ -295,7 +299,8 @@ class Model:
         y = np.concatenate([y, [0.0, 1.0]])
         x = np.zeros((len(y), width + 1))
         scaled = value * np.where(quoted, 0.25, 1.0)
-        np.add.at(x, (text, kind), scaled)
+        np.add.at(x, (text, 0), scaled * NEARNESS[kind])
+        np.add.at(x, (text[kind > 0], kind[kind > 0]), scaled[kind > 0])
         np.add.at(x, (text, own), scaled)
         x[:, width] = 1
         w = np.zeros(width + 1)
@@ -312,7 +317,9 @@ class Model:
         for f in range(2, self.features):
             label = f // 2 - 1
             if label < 3 * terms:
-                self.weights[f] = (w[label % 3] + w[3 + label]) * (0.25 if f % 2 else 1.0)
+                errors = label % 3
+                shared = w[0] * NEARNESS[errors] + (w[errors] if errors else 0.0)
+                self.weights[f] = (shared + w[3 + label]) * (0.25 if f % 2 else 1.0)
 
     def probability(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         text, feature, value = self.rows(data, offsets)
