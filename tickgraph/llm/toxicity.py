@@ -81,8 +81,11 @@ class Automaton:
     distance 0; 1 error is allowed from 5 letters on and 2 from 8 on. A swap of neighbours counts as one error.
     """
 
-    def __init__(self, terms: list[tuple[str, bool]]):
+    def __init__(self, terms: list[tuple[str, bool]], far: int | None = None):
+        """far: how many of the terms, the first ones, may have two errors; all if None. It bounds the states."""
         self.terms = sorted(set(terms))
+        twice = set(terms if far is None else terms[:far])
+        limit = [2 if len(t) >= 8 and (t, s) in twice else 1 if len(t) >= 5 else 0 for t, s in self.terms]
         letters = sorted({c for t, _ in self.terms for c in t})[: CLASSES - 2]
         self.letters = {c: k + 1 for k, c in enumerate(letters)}
         children: list[dict[str, int]] = [{}]
@@ -90,7 +93,7 @@ class Automaton:
         reach: list[int] = [0]
         for k, (term, _) in enumerate(self.terms):
             node = 0
-            most = 2 if len(term) >= 8 else 1 if len(term) >= 5 else 0
+            most = limit[k]
             reach[0] = max(reach[0], most)
             for c in term:
                 if c not in children[node]:
@@ -101,7 +104,6 @@ class Automaton:
                 node = children[node][c]
                 reach[node] = max(reach[node], most)
             final[node].append(k)
-        limit = [2 if len(t) >= 8 else 1 if len(t) >= 5 else 0 for t, _ in self.terms]
 
         def closed(items: dict) -> frozenset:
             """Adds what leaving out letters of a term reaches; keeps the fewest errors of each place."""
@@ -117,6 +119,10 @@ class Automaton:
             for key, e in done.items():
                 if items.get(key, 9) > e:
                     items[key] = e
+            over = {key: e for key, e in items.items() if key[0] < 0}
+            if over:  # a stem is complete: what has more errors cannot be nearer, and nothing is nearer than none
+                best = min(over.values())
+                items = dict([min(over.items(), key=lambda x: (x[1], ~x[0][0]))]) if not best else {k: e for k, e in items.items() if e <= best}
             return frozenset(items.items())
 
         start = closed({(0, None): 0})
@@ -200,7 +206,7 @@ def distance(word: str, term: str) -> int:
     return d[len(word), len(term)]
 
 
-def learn_lexicon(texts: DataFrame, most: int = 300, least: int = 5, times: float = 30.0) -> list[tuple[str, bool]]:
+def learn_lexicon(texts: DataFrame, most: int = 150, least: int = 5, times: float = 30.0) -> list[tuple[str, bool]]:
     """Words and stems (of 4 to 10 letters) that labelled toxic texts have and clean ones do not; at most `most`.
 
     texts: (y, text). Counts are made on executors over words and stems; what comes to the driver passed the counts.
@@ -331,7 +337,7 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column, most: int = 20_000)
     """The model of labels.toxic from at most `most` labelled documents; lexicon, then weights of matches."""
     scratch = Scratch(docs.sparkSession, "toxicity")
     texts = scratch.write(sample(docs, labels, "toxic", allowed, most).select("doc_id", "y", "text"))
-    model = Model(Automaton(learn_lexicon(texts)))
+    model = Model(Automaton(learn_lexicon(texts), far=24))
 
     def run(batches):
         for batch in batches:
