@@ -101,9 +101,9 @@ def repeated_lines(docs: DataFrame, part: int = 75, whole: int = 100, least: int
 
     tokens = meta.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("k")).where("k > 1")
     common = _bitmap(scratch.write(tokens.select("token")), "token")
-    posted = meta.select("s", "t", "n", F.posexplode("prefix").alias("pos", "token")).where(_may(common, "token"))
-    posted = scratch.write(posted.groupBy("token", "s", "t").agg(F.min("n").alias("n"), F.min("pos").alias("pos")))
-    posted = scratch.write(posted.join(classes.select("s", "t", F.col("first").alias("o")), ["s", "t"]))
+    posted = meta.select("s", "t", "n", at.alias("o"), F.posexplode("prefix").alias("pos", "token")).where(_may(common, "token"))
+    posted = posted.groupBy("token", "s", "t").agg(F.min("n").alias("n"), F.min("pos").alias("pos"), F.min("o").alias("o"))
+    posted = scratch.write(posted)
 
     def candidates(later: DataFrame, earlier: DataFrame) -> DataFrame:
         """(s, t, s2, t2, o2): classes that may match and come before."""
@@ -114,8 +114,7 @@ def repeated_lines(docs: DataFrame, part: int = 75, whole: int = 100, least: int
 
     earliest = posted.groupBy("token").agg(F.min(F.struct("o", "s", "t", "n", "pos")).alias("c"), F.count("*").alias("k")).where("k > 1")
     earliest = scratch.write(earliest.select("token", "c.*"))
-    several = scratch.write(posted.join(earliest.select("token"), "token", "left_semi"))
-    first = candidates(several, earliest).groupBy("s", "t").agg(F.min(F.struct("o2", "s2", "t2")).alias("c"))
+    first = candidates(posted, earliest).groupBy("s", "t").agg(F.min(F.struct("o2", "s2", "t2")).alias("c"))
     first = scratch.write(first.select("s", "t", "c.s2", "c.t2"))
 
     def matching(pairs: DataFrame) -> DataFrame:
@@ -130,7 +129,7 @@ def repeated_lines(docs: DataFrame, part: int = 75, whole: int = 100, least: int
         return scratch.write(both.where(good).select("s", "t").distinct())
 
     settled = matching(first)
-    rest = candidates(several.join(settled, ["s", "t"], "left_anti"), several).select("s", "t", "s2", "t2").distinct()
+    rest = candidates(posted.join(settled, ["s", "t"], "left_anti"), posted).select("s", "t", "s2", "t2").distinct()
     rest = scratch.write(rest.join(first, ["s", "t", "s2", "t2"], "left_anti"))
     more = matching(rest)
     gone = settled.union(more).withColumn("none", F.lit(True))
