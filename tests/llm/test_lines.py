@@ -7,16 +7,17 @@ from pyspark.sql import functions as F
 from tickgraph.llm import lines
 
 
-def brute(texts, least=5):
+def brute(texts):
     seen, out = [], []
     for d, text in enumerate(texts):
         rows = (text or "").split("\n")
         kept = []
         for line in rows:
             low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in line)
-            s = set(re.findall(r"[^\x20\x09-\x0D]+", low))
-            gone = len(s) >= least and any(100 * len(s & o) >= 75 * len(s | o) for o in seen)
-            if len(s) >= least:
+            w = re.findall(r"[^\x20\x09-\x0D]+", low)
+            s = {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+            gone = any(100 * len(s & o) >= 75 * len(s | o) for o in seen)
+            if s:
                 seen.append(s)
             if not gone:
                 kept.append(line)

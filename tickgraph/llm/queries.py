@@ -106,8 +106,9 @@ FROM documents d JOIN c ON c.id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
 
 OP4_SQL = r"""
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS k FROM documents),
-s AS (SELECT doc_id, k, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(line), '[\x20\x09-\x0D]+'), lambda w: w <> ''))) AS w FROM l),
-big AS (SELECT *, len(w) AS n FROM s WHERE len(w) >= 5),
+x AS (SELECT doc_id, k, list_filter(regexp_split_to_array(lower(line), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS v FROM l),
+s AS (SELECT doc_id, k, list_sort(list_distinct(list_transform(range(1, len(v) - 3), lambda i: array_to_string(v[i : i + 4], ' ')))) AS w FROM x WHERE len(v) >= 5),
+big AS (SELECT *, len(w) AS n FROM s),
 cls AS (SELECT w, n, min((doc_id, k)) AS f, row_number() OVER () AS c FROM big GROUP BY w, n),
 tok AS (SELECT c, n, f, unnest(w) AS t FROM cls),
 df AS (SELECT t, count(*) AS d FROM tok GROUP BY t),
