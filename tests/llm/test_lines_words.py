@@ -1,0 +1,34 @@
+import hashlib
+import re
+
+from tickgraph.llm import queries
+
+from .test_lines import texts_of
+
+
+def word_brute(texts):
+    """Numbers of the removed lines of each text: word sets at 0.75, and lines of fewer than five words as a whole."""
+    seen, out = [], []
+    for text in texts:
+        gone = []
+        for k, line in enumerate((text or "").split("\n")):
+            w = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in line))
+            s = {tuple(w)} if 0 < len(w) < 5 else set(w)
+            if any(100 * len(s & o) >= 75 * len(s | o) for o in seen):
+                gone.append(k)
+            if s:
+                seen.append(s)
+        out.append(gone)
+    return out
+
+
+def test_query_takes_word_sets_and_short_lines(spark, tmp_path):
+    texts = [*texts_of(), "to be", "be to", "To  be\none two three four five six seven eight", "one two three 4 five six seven eight\n\n \nbe", "be be be be be", "be", "if of fog", "i o og", "one\ftwo\x0bthree"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = word_brute(texts)
+    assert want[-7:-3] == [[0], [0], [], [0]] and want[-3:-1] == [[], []]
+    got = {r["doc_id"]: r for r in queries.op4_line_dedup(spark, str(tmp_path)).collect()}
+    assert [got[i]["n_removed"] for i in range(len(texts))] == [len(g) for g in want]
+    for i, gone in enumerate(want):
+        kept = [line for k, line in enumerate((texts[i] or "").split("\n")) if k not in gone]
+        assert got[i]["kept_sha256"] == hashlib.sha256("\n".join(kept).encode()).hexdigest()

@@ -9,13 +9,15 @@ from .scratch import Scratch
 
 BUCKETS = 1 << 16
 TOKEN_BITS = 47
+#: The form of the query: words as tokens, and a line of fewer than five words as one token.
+WORDS = {"size": 1, "short": 5}
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def _words(text: str) -> str:
     """Words of a text: lower case, split at blanks, tabs and the like; empty ones are still among them."""
     out = f"lower({text})"
-    for space in ("\\t", "\\r", "\\f", "\\u000B", "\\n"):
+    for space in ("\\t", "\\r", "\\u000C", "\\u000B", "\\n"):
         out = f"replace({out}, '{space}', ' ')"
     return f"split({out}, ' ')"
 
@@ -25,23 +27,31 @@ def _numbers(values: list[int], kind: str) -> Column:
     return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
 
 
-def _line_tokens(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, line_no, tokens) of each line: a hash of each run of `size` words, none for a shorter line."""
+def _line_tokens(docs: DataFrame, size: int, short: int) -> DataFrame:
+    """(doc_id, line_no, tokens) of each line: a hash of each run of `size` words.
+
+    A line of fewer than `short` words has one token, a hash of its number of words and their sequence; a longer line
+    of fewer than `size` words has none and is left out, as is a line without words.
+    """
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
     hashes = F.transform(F.array_remove(F.expr(_words("line")), ""), lambda w: F.xxhash64(w))
     # a generator keeps the plan from working an array out once for each use
-    hashed = lines.select("doc_id", "line_no", F.explode(F.array(hashes)).alias("h")).where(F.size("h") >= size)
-    runs = F.transform(F.sequence(F.lit(0), F.size("h") - size), lambda i: F.xxhash64(*[F.get(F.col("h"), i + k) for k in range(size)]))
+    hashed = lines.select("doc_id", "line_no", F.explode(F.array(hashes)).alias("h")).where(F.size("h") >= (1 if short > 1 else size))
+    run = lambda i: F.xxhash64(*[F.get(F.col("h"), i + k) for k in range(size)])
+    runs = F.col("h") if size == 1 else F.transform(F.sequence(F.lit(0), F.size("h") - size), run)
+    if short > 1:
+        runs = F.when(F.size("h") < short, F.array(F.xxhash64(F.size("h"), F.col("h")))).when(F.size("h") >= size, runs)
+        return hashed.select("doc_id", "line_no", runs.alias("tokens")).where("tokens is not null")
     return hashed.select("doc_id", "line_no", runs.alias("tokens"))
 
 
-def rarity_order(docs: DataFrame, size: int) -> list[int]:
+def rarity_order(docs: DataFrame, size: int, short: int) -> list[int]:
     """A rank for each of 2^16 buckets of tokens, rare ones first, by counts over all tokens of all documents.
 
     The order of tokens is that of their bucket, then of their hash: any one order of all tokens makes the prefix
     filter exact, and this one keeps frequent tokens last. What comes to the driver has one row for each bucket.
     """
-    tokens = _line_tokens(docs, size).select(F.explode("tokens").alias("h"))
+    tokens = _line_tokens(docs, size, short).select(F.explode("tokens").alias("h"))
     counts = tokens.groupBy(F.pmod("h", F.lit(BUCKETS)).cast("int").alias("k")).agg(F.count("*").alias("n")).collect()
     count = dict(counts)
     order = sorted(range(BUCKETS), key=lambda k: (count.get(k, 0), k))
@@ -51,8 +61,8 @@ def rarity_order(docs: DataFrame, size: int) -> list[int]:
     return rank
 
 
-def token_sets(docs: DataFrame, rank: list[int], size: int) -> DataFrame:
-    """(doc_id, line_no, s, t, n, keys) of each line with at least `size` words: keys are its tokens, rare ones first.
+def token_sets(docs: DataFrame, rank: list[int], size: int, short: int) -> DataFrame:
+    """(doc_id, line_no, s, t, n, keys) of each line that has a token: keys are its tokens, rare ones first.
 
     s and t name the set: equal for lines of equal tokens.
     """
@@ -62,7 +72,7 @@ def token_sets(docs: DataFrame, rank: list[int], size: int) -> DataFrame:
         return F.shiftleft(F.get(table, F.pmod(h, F.lit(BUCKETS)).cast("int")), TOKEN_BITS).bitwiseOR(h.bitwiseAND(F.lit(mask)))
 
     keys = F.sort_array(F.array_distinct(F.transform("tokens", key)))
-    sets = _line_tokens(docs, size).select("doc_id", "line_no", F.explode(F.array(keys)).alias("keys"))
+    sets = _line_tokens(docs, size, short).select("doc_id", "line_no", F.explode(F.array(keys)).alias("keys"))
     return sets.select("doc_id", "line_no", F.xxhash64("keys").alias("s"), F.hash("keys").alias("t"), F.size("keys").alias("n"), "keys")
 
 
@@ -80,13 +90,14 @@ def _may(bitmap: tuple[Column, int], column: str) -> Column:
     return F.call_function("getbit", word, place.bitwiseAND(F.lit(63)).cast("int")) == 1
 
 
-def repeated_lines(docs: DataFrame, part: int = 75, whole: int = 100, size: int = 5) -> DataFrame:
+def repeated_lines(docs: DataFrame, part: int = 75, whole: int = 100, size: int = 5, short: int = 0) -> DataFrame:
     """(doc_id, removed): the numbers of the lines of a document that match an earlier line of the corpus.
 
     Lines are split at newlines and compared as sets of runs of `size` words (lower case, split at white space of ASCII); two match at a
     Jaccard similarity of part / whole or more. Order is that of (doc_id, line number), null ids first; a line is
-    removed if any earlier line matches it, whether that one stays or not. Lines with fewer than `size` words
-    always stay. Exact: tokens are ordered by rarity over the whole corpus; lines of equal tokens are one class, and only
+    removed if any earlier line matches it, whether that one stays or not. A line of fewer than `short`
+    words is compared as a whole, by the sequence of its words, to lines of as many; without `short`, lines of fewer
+    than `size` words always stay. Lines without words always stay. Exact: tokens are ordered by rarity over the whole corpus; lines of equal tokens are one class, and only
     classes are joined, on the prefix tokens that two matching sets must share one of, within the lengths and
     positions that allow the similarity; each candidate is then verified on both full sets. First every class meets the
     earliest candidate of its own, which settles most members of a group of near copies in one row each; the classes
@@ -97,8 +108,8 @@ def repeated_lines(docs: DataFrame, part: int = 75, whole: int = 100, size: int
     """
     scratch = Scratch(docs.sparkSession, "lines")
     docs = docs.where("text is not null").select("doc_id", F.col("text").cast("string").alias("text"))
-    rank = rarity_order(docs, size)
-    sets = token_sets(docs, rank, size)
+    rank = rarity_order(docs, size, short)
+    sets = token_sets(docs, rank, size, short)
     at = F.struct("doc_id", "line_no")
     prefix = F.col("n") - F.ceil(F.col("n") * part / whole).cast("int") + 1
     meta = scratch.write(sets.select("s", "t", "doc_id", "line_no", "n", F.slice("keys", F.lit(1), prefix).alias("prefix")))

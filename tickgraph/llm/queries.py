@@ -65,7 +65,7 @@ def op8_toxicity(spark, sf_dir):
 
 
 def op4_line_dedup(spark, sf_dir):
-    return lines.digest(_table(spark, sf_dir, "documents"))
+    return lines.digest(_table(spark, sf_dir, "documents"), **lines.WORDS)
 
 
 def op5_licence_scan(spark, sf_dir):
