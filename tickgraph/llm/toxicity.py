@@ -21,6 +21,8 @@ QUOTES = "\"“”„«»‹›"
 _INNER = "*@$0123456789"
 
 CLASSES = 64
+#: Bytes of states that an automaton keeps from one batch to the next.
+HELD = 64 << 20
 #: Share of the weight of a match that 0, 1 or 2 errors leave.
 NEARNESS = np.array([1.0, 0.6, 0.35])
 _LETTER, _DIGIT_OR_SIGN = 1, 2
@@ -76,16 +78,16 @@ def words_in(data: np.ndarray, offsets: np.ndarray):
 class Automaton:
     """Of terms (whole words, or stems that any ending may follow): accepts words within an edit distance of a term.
 
-    States are sets of (trie node, errors) as the Levenshtein automata and the trie are walked together, made
-    deterministic once; then all words of a batch are run through the table letter by letter. An exact term has
-    distance 0; 1 error is allowed from 5 letters on and 2 from 8 on. A swap of neighbours counts as one error.
+    States are sets of (trie node, errors) as the Levenshtein automata and the trie are walked together. All words of a
+    batch are run through a table letter by letter; a place of the table is worked out when the first word comes to it,
+    so it holds what the words reach and not all that terms allow, and it starts anew beyond HELD bytes of states. An
+    exact term has distance 0; 1 error is allowed from 5 letters on and 2 from 8 on. A swap of neighbours counts as one
+    error.
     """
 
-    def __init__(self, terms: list[tuple[str, bool]], far: int | None = None):
-        """far: how many of the terms, the first ones, may have two errors; all if None. It bounds the states."""
+    def __init__(self, terms: list[tuple[str, bool]]):
         self.terms = sorted(set(terms))
-        twice = set(terms if far is None else terms[:far])
-        limit = [2 if len(t) >= 8 and (t, s) in twice else 1 if len(t) >= 5 else 0 for t, s in self.terms]
+        self.limit = limit = [2 if len(t) >= 8 else 1 if len(t) >= 5 else 0 for t, _ in self.terms]
         letters = sorted({c for t, _ in self.terms for c in t})[: CLASSES - 2]
         self.letters = {c: k + 1 for k, c in enumerate(letters)}
         children: list[dict[str, int]] = [{}]
@@ -105,88 +107,113 @@ class Automaton:
                 reach[node] = max(reach[node], most)
             final[node].append(k)
 
-        def closed(items: dict) -> frozenset:
-            """Adds what leaving out letters of a term reaches; keeps the fewest errors of each place."""
-            todo = list(items.items())
-            while todo:
-                (node, held), e = todo.pop()
-                if held is None and e < reach[node] and node >= 0:
-                    for child in children[node].values():
-                        if e + 1 <= reach[child] and items.get((child, None), 9) > e + 1:
-                            items[(child, None)] = e + 1
-                            todo.append(((child, None), e + 1))
-            done = {(~k, None): e for (n, h), e in items.items() if h is None and n >= 0 for k in final[n] if self.terms[k][1] and e <= limit[k]}
-            for key, e in done.items():
-                if items.get(key, 9) > e:
-                    items[key] = e
-            over = {key: e for key, e in items.items() if key[0] < 0}
-            if over:  # a stem is complete: what has more errors cannot be nearer, and nothing is nearer than none
-                best = min(over.values())
-                items = dict([min(over.items(), key=lambda x: (x[1], ~x[0][0]))]) if not best else {k: e for k, e in items.items() if e <= best}
-            return frozenset(items.items())
-
-        start = closed({(0, None): 0})
-        number, rows, accept = {start: 1}, [np.zeros(CLASSES, np.int32)], [()]
-        todo = [start]
-        symbols = [*letters, None]
-        while todo:
-            state = todo.pop()
-            row = np.zeros(CLASSES, np.int32)
-            for c in symbols:
-                new: dict = {}
-
-                def put(key, e, new=new):
-                    if new.get(key, 9) > e:
-                        new[key] = e
-
-                for (node, held), e in state:
-                    if node < 0:
-                        put((node, None), e)
-                        continue
-                    if held is not None:
-                        if c == held[0]:
-                            put((held[1], None), e)
-                        continue
-                    for letter, child in children[node].items():
-                        if letter == c:
-                            put((child, None), e)
-                        if e + 1 <= reach[child]:
-                            put((child, None), e + 1)
-                        if c is not None and letter != c and c in children[child] and e + 1 <= reach[children[child][c]]:
-                            put((node, (letter, children[child][c])), e + 1)
-                    if e + 1 <= reach[node]:
-                        put((node, None), e + 1)
-                if new:
-                    after = closed(new)
-                    if after not in number:
-                        number[after] = len(number) + 1
-                        todo.append(after)
-                    row[self.letters.get(c, 0)] = number[after]
-            while len(rows) <= number[state]:
-                rows.append(np.zeros(CLASSES, np.int32))
-                accept.append(())
-            rows[number[state]] = row
-            found: dict[int, int] = {}
-            for (node, held), e in state:
-                if held is None:
-                    for k in [~node] if node < 0 else final[node]:
-                        if e <= limit[k]:
-                            found[k] = min(found.get(k, 9), e)
-            accept[number[state]] = min(((e, k) for k, e in found.items()), default=())
-        self.table = np.stack(rows)
-        self.label = np.array([1 + 3 * a[1] + a[0] if a else 0 for a in accept], np.int32)
+        self.children, self.final, self.reach, self.symbols = children, final, reach, [None, *letters]
         self.code = np.zeros(0x3000, np.uint8)
         for c, k in self.letters.items():
             self.code[ord(c)] = k
+        self._restart()
+
+    def _restart(self) -> None:
+        self.number: dict[bytes, int] = {}
+        self.states: list[bytes] = [b""]
+        self.held = 0
+        self.table = np.zeros((64, CLASSES), np.int32)
+        self.label = np.zeros(64, np.int32)
+        self._numbered(self._closed({(0, None): 0}))
+
+    def _closed(self, items: dict) -> dict:
+        """Adds what leaving out letters of a term reaches; keeps the fewest errors of each place."""
+        children, reach = self.children, self.reach
+        todo = list(items.items())
+        while todo:
+            (node, held), e = todo.pop()
+            if held is None and e < reach[node] and node >= 0:
+                for child in children[node].values():
+                    if e + 1 <= reach[child] and items.get((child, None), 9) > e + 1:
+                        items[(child, None)] = e + 1
+                        todo.append(((child, None), e + 1))
+        done: dict = {}
+        for (n, h), e in items.items():
+            for k in self.final[n] if h is None and n >= 0 else ():
+                if self.terms[k][1] and e <= self.limit[k]:
+                    done[(~k, None)] = min(e, done.get((~k, None), 9))
+        for key, e in done.items():
+            if items.get(key, 9) > e:
+                items[key] = e
+        over = {key: e for key, e in items.items() if key[0] < 0}
+        if over:  # a stem is complete: what has more errors cannot be nearer, and nothing is nearer than none
+            best = min(over.values())
+            items = dict([min(over.items(), key=lambda x: (x[1], ~x[0][0]))]) if not best else {k: e for k, e in items.items() if e <= best}
+        return items
+
+    def _numbered(self, items: dict) -> int:
+        """The number of a state, from 1 on; a new one has a row of places not worked out (-1)."""
+        name = np.array(sorted((n, *((ord(h[0]), h[1]) if h else (0, 0)), e) for (n, h), e in items.items()), np.int32).tobytes()
+        if name not in self.number:
+            k = self.number[name] = len(self.states)
+            self.states.append(name)
+            self.held += len(name) + 4 * CLASSES
+            if k == len(self.table):
+                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+                self.label = np.concatenate([self.label, np.zeros_like(self.label)])
+            self.table[k] = -1
+            found: dict[int, int] = {}
+            for (node, held), e in items.items():
+                for t in () if held is not None else [~node] if node < 0 else self.final[node]:
+                    if e <= self.limit[t]:
+                        found[t] = min(found.get(t, 9), e)
+            if found:
+                e, t = min((e, t) for t, e in found.items())
+                self.label[k] = 1 + 3 * t + e
+        return self.number[name]
+
+    def _after(self, state: int, symbol: int) -> int:
+        """The state that a letter leads to, 0 if no term is near any more."""
+        children, reach, c = self.children, self.reach, self.symbols[symbol]
+        new: dict = {}
+
+        def put(key, e):
+            if new.get(key, 9) > e:
+                new[key] = e
+
+        for node, letter, then, e in np.frombuffer(self.states[state], np.int32).reshape(-1, 4).tolist():
+            if node < 0:
+                put((node, None), e)
+                continue
+            if letter:
+                if c == chr(letter):
+                    put((then, None), e)
+                continue
+            if c in children[node]:
+                put((children[node][c], None), e)
+            if e + 1 > reach[node]:
+                continue
+            put((node, None), e + 1)
+            for letter, child in children[node].items():
+                if e + 1 <= reach[child]:
+                    put((child, None), e + 1)
+                if c is not None and letter != c and c in children[child] and e + 1 <= reach[children[child][c]]:
+                    put((node, (letter, children[child][c])), e + 1)
+        return self._numbered(self._closed(new)) if new else 0
 
     def run(self, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """For each word 0, or 1 + 3 * term + errors of its nearest term."""
         classes = np.where(codes < 0x3000, self.code[np.minimum(codes, 0x2FFF)], 0)
-        flat = self.table.reshape(-1)
+        if self.held > HELD:
+            self._restart()
         out = np.zeros(len(starts), np.int32)
         rows, state, at, stop = np.arange(len(starts)), np.ones(len(starts), np.int32), starts.copy(), ends
         while len(rows):
-            state = flat[state * CLASSES + classes[at]]
+            symbol = classes[at]
+            after = self.table[state, symbol]
+            unknown = after < 0
+            if unknown.any():
+                for place in np.unique(state[unknown] * CLASSES + symbol[unknown]).tolist():
+                    k, c = divmod(place, CLASSES)
+                    target = self._after(k, c)  # may replace the table
+                    self.table[k, c] = target
+                after = self.table[state, symbol]
+            state = after
             at = at + 1
             done = at == stop
             out[rows[done]] = self.label[state[done]]
@@ -206,8 +233,8 @@ def distance(word: str, term: str) -> int:
     return d[len(word), len(term)]
 
 
-def learn_lexicon(texts: DataFrame, most: int = 150, least: int = 5, times: float = 30.0) -> list[tuple[str, bool]]:
-    """Words and stems (of 4 to 10 letters) that labelled toxic texts have and clean ones do not; at most `most`.
+def learn_lexicon(texts: DataFrame, least: int = 5, times: float = 30.0) -> list[tuple[str, bool]]:
+    """Words and stems (of 4 to 10 letters) that labelled toxic texts have and clean ones do not.
 
     texts: (y, text). Counts are made on executors over words and stems; what comes to the driver passed the counts.
     """
@@ -237,7 +264,7 @@ def learn_lexicon(texts: DataFrame, most: int = 150, least: int = 5, times: floa
     sums = texts.mapInArrow(run, "term string, stem boolean, toxic long, clean long").groupBy("term", "stem").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     ratio = (F.col("toxic") / bad) / ((F.col("clean") + 0.5) / good)
     strong = sums.where((F.col("toxic") >= F.when(F.col("stem"), 2 * least).otherwise(least)) & (ratio >= times) & (F.length("term") >= 3))
-    rows = strong.orderBy(F.desc("toxic"), "term", "stem").limit(4 * most).collect()
+    rows = strong.orderBy(F.desc("toxic"), "term", "stem").collect()
     words = {r["term"]: r["toxic"] for r in rows if not r["stem"]}
     stems: list[str] = []
     for r in sorted((r for r in rows if r["stem"]), key=lambda r: (len(r["term"]), r["term"])):
@@ -249,7 +276,7 @@ def learn_lexicon(texts: DataFrame, most: int = 150, least: int = 5, times: floa
             stems.append(stem)
     kept = [(w, False) for w in words if not any(w.startswith(s) for s in stems)]
     kept.sort(key=lambda w: (-words[w[0]], w[0]))
-    return (kept + [(s, True) for s in stems])[:most]
+    return kept + [(s, True) for s in stems]
 
 
 def evidence(automaton: Automaton, data: np.ndarray, offsets: np.ndarray, window: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -299,8 +326,9 @@ class Model:
         kind = np.where(feature // 2 > 0, (feature // 2 - 1) % 3, 0)
         quoted = feature % 2 == 1
         terms = len(self.automaton.terms)
-        own = np.where(feature // 2 > 0, 3 + feature // 2 - 1, 3)
-        width = 3 + 3 * max(terms, 1)
+        used, own = np.unique(np.maximum(feature // 2 - 1, 0), return_inverse=True)  # what does not occur has no weight of its own
+        own = 3 + own
+        width = 3 + len(used)
         times = np.concatenate([np.ones(len(y)), bare])
         y = np.concatenate([y, [0.0, 1.0]])
         x = np.zeros((len(y), width + 1))
@@ -320,12 +348,14 @@ class Model:
             if np.abs(step).max() < 1e-6:
                 break
         self.base = float(w[width])
+        alone = np.zeros(3 * terms)
+        alone[used] = w[3:width]
         for f in range(2, self.features):
             label = f // 2 - 1
             if label < 3 * terms:
                 errors = label % 3
                 shared = w[0] * NEARNESS[errors] + (w[errors] if errors else 0.0)
-                self.weights[f] = (shared + w[3 + label]) * (0.25 if f % 2 else 1.0)
+                self.weights[f] = (shared + alone[label]) * (0.25 if f % 2 else 1.0)
 
     def probability(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         text, feature, value = self.rows(data, offsets)
@@ -337,7 +367,7 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column, most: int = 20_000)
     """The model of labels.toxic from at most `most` labelled documents; lexicon, then weights of matches."""
     scratch = Scratch(docs.sparkSession, "toxicity")
     texts = scratch.write(sample(docs, labels, "toxic", allowed, most).select("doc_id", "y", "text"))
-    model = Model(Automaton(learn_lexicon(texts), far=24))
+    model = Model(Automaton(learn_lexicon(texts)))
 
     def run(batches):
         for batch in batches:
