@@ -41,7 +41,7 @@ TEMPLATES: dict[str, list[str]] = {
     "cc-by": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "cc0": ["Released under CC0 1.0 Universal Public Domain Dedication.", "To the extent possible under law, the author has waived all copyright and related rights to this work."],
     "unlicense": ["This is free and unencumbered software released into the public domain."],
-    "proprietary": ["All rights reserved. No part of this publication may be reproduced without prior written permission.", "Proprietary and confidential. Unauthorized copying of this file is strictly prohibited."],
+    "proprietary": ["All rights reserved.", "All rights reserved. No part of this publication may be reproduced without prior written permission.", "Proprietary and confidential. Unauthorized copying of this file is strictly prohibited."],
 }
 
 #: Paragraphs that speak of licences, rights and the like without granting any.
