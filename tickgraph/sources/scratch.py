@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -44,3 +45,8 @@ class Scratch:
             jvm = self.spark.sparkContext._jvm
             path = jvm.org.apache.hadoop.fs.Path(table._scratch_path)
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+    def collect_garbage(self) -> None:
+        """Lets Spark drop the shuffle files of plans that nothing refers to any more, on executors too."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
