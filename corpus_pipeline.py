@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickgraph.llm import decontaminate, lines, minhash, packing, toxicity
-from tickgraph.llm.scratch import Scratch
+from tickgraph.sources.scratch import Scratch
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -1,7 +1,7 @@
 import random
 
 from tickgraph.llm.components import connected_components
-from tickgraph.llm.scratch import Scratch
+from tickgraph.sources.scratch import Scratch
 
 
 def test_equals_union_find(spark):

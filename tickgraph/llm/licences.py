@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .lines import LOWER, UPPER, _numbers
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Notices and opening clauses of public licences by family.
 TEMPLATES: dict[str, list[str]] = {
@@ -124,6 +124,11 @@ class Model:
         return float(tried[np.argmin([-(soft * np.log(self._softmax(z / t) + 1e-12)).sum() for t in tried])])
 
 
+def _numbers(values: list, kind: str) -> Column:
+    """A constant array of bounded length; folded to one literal when the plan is made."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
+
+
 def _trained(spark) -> Model:
     def hash_of(grams: list[str]) -> dict[str, int]:
         rows = spark.createDataFrame([(g,) for g in grams], "g string").select("g", F.pmod(F.xxhash64("g"), F.lit(BUCKETS)).alias("k"))

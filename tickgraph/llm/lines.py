@@ -5,174 +5,227 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import Scratch
+from ..sources.scratch import Scratch
 
-BUCKETS = 1 << 16
-TOKEN_BITS = 47
-#: The form of the query: words as tokens, and a line of fewer than five words as one token.
-WORDS = {"size": 1, "short": 5}
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Cells of each of the two rows of the table of token counts: at any size of the corpus.
+CELLS = 1 << 17
+#: Steps of a doubling into which counts are put; a class must stay below 128.
+STEPS = 3
+#: Tokens of a line that look for a centre before the join of all.
+PIVOTS = 4
+#: Rounds of centres at most; what they leave is joined whole.
+ROUNDS = 6
+#: Bits of a bitmap that the public bitmap functions make, and of all of them together at most.
+BITMAP, MOST_BITS = 32768, 1 << 28
 
 
-def _words(text: str) -> str:
-    """Words of a text: lower case, split at blanks, tabs and the like; empty ones are still among them."""
-    out = f"lower({text})"
-    for space in ("\\t", "\\r", "\\u000C", "\\u000B", "\\n"):
-        out = f"replace({out}, '{space}', ' ')"
-    return f"split({out}, ' ')"
+def _spaced(text: str) -> Column:
+    """Lower case, with a blank for each white space of ASCII but the newline."""
+    out = F.lower(F.col(text))
+    for space in "\t\r\f\v":
+        out = F.replace(out, F.lit(space), F.lit(" "))
+    return out
 
 
-def _numbers(values: list[int], kind: str) -> Column:
-    """A constant array of bounded length; folded to one literal when the plan is made."""
-    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
+def _words(line: str) -> Column:
+    return F.array_remove(F.split(line, " "), "")
 
 
-def _line_tokens(docs: DataFrame, size: int, short: int) -> DataFrame:
-    """(doc_id, line_no, tokens) of each line: a hash of each run of `size` words.
+def _tokens(words: str, short: int) -> Column:
+    """The distinct words; of fewer than `short`, their sequence as one token, which no word equals; null for none."""
+    sequence = F.array(F.concat(F.lit(" "), F.array_join(words, " ")))
+    return F.when(F.size(words) >= short, F.array_distinct(words)).when(F.size(words) > 0, sequence)
 
-    A line of fewer than `short` words has one token, a hash of its number of words and their sequence; a longer line
-    of fewer than `size` words has none and is left out, as is a line without words.
-    """
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    hashes = F.transform(F.array_remove(F.expr(_words("line")), ""), lambda w: F.xxhash64(w))
-    # a generator keeps the plan from working an array out once for each use
-    hashed = lines.select("doc_id", "line_no", F.explode(F.array(hashes)).alias("h")).where(F.size("h") >= (1 if short > 1 else size))
-    run = lambda i: F.xxhash64(*[F.get(F.col("h"), i + k) for k in range(size)])
-    runs = F.col("h") if size == 1 else F.transform(F.sequence(F.lit(0), F.size("h") - size), run)
-    if short > 1:
-        runs = F.when(F.size("h") < short, F.array(F.xxhash64(F.size("h"), F.col("h")))).when(F.size("h") >= size, runs)
-        return hashed.select("doc_id", "line_no", runs.alias("tokens")).where("tokens is not null")
-    return hashed.select("doc_id", "line_no", runs.alias("tokens"))
-
-
-def rarity_order(docs: DataFrame, size: int, short: int) -> list[int]:
-    """A rank for each of 2^16 buckets of tokens, rare ones first, by counts over all tokens of all documents.
-
-    The order of tokens is that of their bucket, then of their hash: any one order of all tokens makes the prefix
-    filter exact, and this one keeps frequent tokens last. What comes to the driver has one row for each bucket.
-    """
-    tokens = _line_tokens(docs, size, short).select(F.explode("tokens").alias("h"))
-    counts = tokens.groupBy(F.pmod("h", F.lit(BUCKETS)).cast("int").alias("k")).agg(F.count("*").alias("n")).collect()
-    count = dict(counts)
-    order = sorted(range(BUCKETS), key=lambda k: (count.get(k, 0), k))
-    rank = [0] * BUCKETS
-    for place, k in enumerate(order):
-        rank[k] = place
-    return rank
-
-
-def token_sets(docs: DataFrame, rank: list[int], size: int, short: int) -> DataFrame:
-    """(doc_id, line_no, s, t, n, keys) of each line that has a token: keys are its tokens, rare ones first.
 
-    s and t name the set: equal for lines of equal tokens.
-    """
-    table, mask = _numbers(rank, "long"), (1 << TOKEN_BITS) - 1
-
-    def key(h: Column) -> Column:
-        return F.shiftleft(F.get(table, F.pmod(h, F.lit(BUCKETS)).cast("int")), TOKEN_BITS).bitwiseOR(h.bitwiseAND(F.lit(mask)))
+def _rows(docs: DataFrame) -> DataFrame:
+    """(doc_id, th, text) of documents with text: th tells rows of one id and different texts apart."""
+    text = F.col("text").cast("string")
+    return docs.where("text is not null").select("doc_id", F.xxhash64(text).alias("th"), text.alias("text"))
 
-    keys = F.sort_array(F.array_distinct(F.transform("tokens", key)))
-    sets = _line_tokens(docs, size, short).select("doc_id", "line_no", F.explode(F.array(keys)).alias("keys"))
-    return sets.select("doc_id", "line_no", F.xxhash64("keys").alias("s"), F.hash("keys").alias("t"), F.size("keys").alias("n"), "keys")
 
+def _lines(docs: DataFrame) -> DataFrame:
+    """(doc_id, th, line_no, line) of each line, spaced."""
+    return _rows(docs).select("doc_id", "th", _spaced("text").alias("text")).select("doc_id", "th", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
 
-def _bitmap(ids: DataFrame, column: str, bits: int = 1 << 23) -> tuple[Column, int]:
-    """A constant bitmap of hashed values, of 2^23 bits at any size of the input: it saves work and decides nothing."""
-    place = F.pmod(F.xxhash64(column), F.lit(bits))
-    spots = ids.select(place.alias("p")).select(F.shiftright("p", 6).cast("int").alias("w"), F.expr("shiftleft(1L, cast(p & 63 as int))").alias("b"))
-    words = dict(spots.groupBy("w").agg(F.bit_or("b").alias("b")).collect())
-    return _numbers([words.get(k, 0) for k in range(bits // 64)], "long"), bits
 
+def _cell(row: int, token: str) -> str:
+    return f"pmod(xxhash64({token}, {row}), {CELLS})"
 
-def _may(bitmap: tuple[Column, int], column: str) -> Column:
-    place = F.pmod(F.xxhash64(column), F.lit(bitmap[1]))
-    word = F.get(bitmap[0], F.shiftright(place, 6).cast("int"))
-    return F.call_function("getbit", word, place.bitwiseAND(F.lit(63)).cast("int")) == 1
 
+def rarity(docs: DataFrame) -> list[list[int]]:
+    """Classes of token counts, 0 for the rarest, in two rows of CELLS cells.
 
-def repeated_lines(docs: DataFrame, part: int = 75, whole: int = 100, size: int = 5, short: int = 0) -> DataFrame:
-    """(doc_id, removed): the numbers of the lines of a document that match an earlier line of the corpus.
-
-    Lines are split at newlines and compared as sets of runs of `size` words (lower case, split at white space of ASCII); two match at a
-    Jaccard similarity of part / whole or more. Order is that of (doc_id, line number), null ids first; a line is
-    removed if any earlier line matches it, whether that one stays or not. A line of fewer than `short`
-    words is compared as a whole, by the sequence of its words, to lines of as many; without `short`, lines of fewer
-    than `size` words always stay. Lines without words always stay. Exact: tokens are ordered by rarity over the whole corpus; lines of equal tokens are one class, and only
-    classes are joined, on the prefix tokens that two matching sets must share one of, within the lengths and
-    positions that allow the similarity; each candidate is then verified on both full sets. First every class meets the
-    earliest candidate of its own, which settles most members of a group of near copies in one row each; the classes
-    that this leaves meet all their earlier candidates.
+    Each token of all documents is counted by itself. A cell holds the largest count of the tokens that fall into it; a
+    token's class is the least of its two cells. That is its own count's class, but for a token that meets two more
+    frequent ones: the most frequent 10^5 tokens keep their own order, whatever the corpus, and rare ones may come a
+    little later in it. Any one order of all tokens makes the prefix filter exact. The driver gets a row for each cell.
+    """
+    text = F.replace(_spaced("text"), F.lit("\n"), F.lit(" "))
+    words = _rows(docs).select(F.explode(F.split(text, " ")).alias("w")).where("w <> ''")
+    counts = words.select(F.xxhash64("w").alias("h")).groupBy("h").agg(F.count("*").alias("n"))
+    spots = counts.select("n", F.explode(F.expr(f"array({_cell(0, 'h')}, {CELLS} + {_cell(1, 'h')})")).alias("c"))
+    cells = spots.groupBy("c").agg(F.max("n").alias("n")).select(F.col("c").cast("int"), F.floor(F.log2("n") * STEPS).cast("int").alias("k"))
+    out = [0] * (2 * CELLS)
+    for c, k in cells.collect():
+        out[c] = min(k, 127)
+    return [out[:CELLS], out[CELLS:]]
+
+
+def signed_lines(docs: DataFrame, part: int, whole: int, short: int) -> DataFrame:
+    """(s, t, doc_id, th, line_no, n, g0, g1, prefix) of each line that has a word.
+
+    s and t name the set of n tokens; prefix has those, rare ones first, of which two matching sets share one, as
+    32-bit hashes; g0 and g1 are parities of the tokens' hashes, 128 in all: each token that only one of two sets has
+    changes one of them.
+    """
+    rows = [F.split(F.lit(",".join(map(str, row))), ",").cast("array<tinyint>") for row in rarity(docs)]
 
-    A null or empty text has no line to remove. Rows that repeat an id are one document and are judged alike. An empty
-    table gives no rows; extra columns are ignored.
+    def key(h: Column) -> Column:
+        spots = [F.get(row, F.pmod(F.xxhash64(h, F.lit(k)), F.lit(CELLS)).cast("int")) for k, row in enumerate(rows)]
+        return F.shiftleft(F.coalesce(F.least(*spots), F.lit(0)).cast("long"), 56).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1)))
+
+    # generators keep the plan from working an array out once for each use
+    at = ["doc_id", "th", "line_no"]
+    lines = _lines(docs).select(*at, F.explode(F.array(_words("line"))).alias("words")).where("size(words) > 0")
+    hashed = lines.select(*at, F.explode(F.array(F.transform(_tokens("words", short), lambda w: F.xxhash64(w)))).alias("h"))
+    keyed = hashed.select(*at, F.explode(F.array(F.sort_array(F.transform("h", key)))).alias("keys"))
+    parity = "aggregate(keys, 0L, (a, k) -> a ^ if((k & 64) = {}, shiftleft(1L, cast(k & 63 as int)), 0L))"
+    prefix = F.col("n") - F.ceil(F.col("n") * part / whole).cast("int") + 1
+    sized = keyed.withColumn("n", F.size("keys"))
+    return sized.select(
+        F.xxhash64("keys").alias("s"), F.xxhash64(F.lit(7), "keys", F.lit(9)).alias("t"), "doc_id", "th", "line_no", "n", F.expr(parity.format(0)).alias("g0"),
+        F.expr(parity.format(64)).alias("g1"), F.transform(F.slice("keys", F.lit(1), prefix), lambda k: F.hash(k)).alias("prefix"),
+    )
+
+
+def _chosen(rows: DataFrame, ids: DataFrame, columns: list[str]) -> DataFrame:
+    """Of rows, all that have an equal one in ids and few others: bitmaps of hashes, 8 bits for each id and 32 MB at most."""
+    bits = max(1, min(MOST_BITS, 8 * ids.count()) // BITMAP)
+    place = F.pmod(F.xxhash64(*columns), F.lit(bits * BITMAP))
+    spots = ids.select(place.alias("p")).select(F.expr(f"p div {BITMAP}").alias("_b"), (F.col("p") % BITMAP).alias("p"))
+    maps = spots.groupBy("_b").agg(F.bitmap_construct_agg("p").alias("_map"))
+    placed = rows.withColumn("_p", place).withColumn("_b", F.expr(f"_p div {BITMAP}")).withColumn("_p", F.col("_p") % BITMAP)
+    byte = F.conv(F.hex(F.expr("substring(_map, cast(_p div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    held = F.call_function("getbit", byte, (F.col("_p") % 8).cast("int")) == 1
+    return placed.join(F.broadcast(maps), "_b").where(held).select(*rows.columns)
+
+
+def _may(part: int, whole: int) -> Column:
+    """Whether the sizes and the parities of two sets (the second one's columns end in 2) allow the similarity."""
+    total = F.col("n") + F.col("n2")
+    apart = F.bit_count(F.col("g0").bitwiseXOR(F.col("g02"))) + F.bit_count(F.col("g1").bitwiseXOR(F.col("g12")))
+    sizes = F.lit(whole) * F.least("n", "n2") >= F.lit(part) * F.greatest("n", "n2")
+    return sizes & (F.lit(whole + part) * apart <= F.lit(whole - part) * total)
+
+
+def repeated_lines(docs: DataFrame, part: int = 75, whole: int = 100, short: int = 5) -> DataFrame:
+    """(doc_id, th, removed): the numbers of the lines of a document that match an earlier line of the corpus.
+
+    Lines are split at newlines and compared as sets of words (lower case, split at white space of ASCII); two match at
+    a Jaccard similarity of part / whole or more. A line of fewer than `short` words has one token, the sequence of its
+    words. Order is that of (doc_id, th, line number), null ids first; a line is removed if any earlier line matches it,
+    whether that one stays or not. Lines without words always stay.
+
+    Exact: tokens are ordered by rarity over the whole corpus (see rarity); lines of equal tokens are one class, and
+    only classes are joined, on the prefix tokens that two matching sets must share one of, within the lengths,
+    positions and parities that allow the similarity; each candidate is then verified on the words of both lines. Before
+    the join, rounds of centres settle groups of near copies in a row or so for each member: each class meets one
+    earlier class that holds one of its PIVOTS tokens, the earliest of those that earlier rounds have left. What they
+    settle is no later side of the join, so that no group emits all its pairs.
+
+    A null or empty text has no line to remove. Rows that repeat an id (null too) and a text are one document and are
+    judged alike; th, a hash of the text, keeps different texts of one id apart. An empty table gives no rows; extra
+    columns are ignored.
     """
     scratch = Scratch(docs.sparkSession, "lines")
-    docs = docs.where("text is not null").select("doc_id", F.col("text").cast("string").alias("text"))
-    rank = rarity_order(docs, size, short)
-    sets = token_sets(docs, rank, size, short)
-    at = F.struct("doc_id", "line_no")
-    prefix = F.col("n") - F.ceil(F.col("n") * part / whole).cast("int") + 1
-    meta = scratch.write(sets.select("s", "t", "doc_id", "line_no", "n", F.slice("keys", F.lit(1), prefix).alias("prefix")))
-    places = meta.select("s", "t", "doc_id", "line_no")
-    classes = scratch.write(places.groupBy("s", "t").agg(F.min(at).alias("first"), F.max(at).alias("last")))
-
-    tokens = meta.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("k")).where("k > 1")
-    common = _bitmap(scratch.write(tokens.select("token")), "token")
-    posted = meta.select("s", "t", "n", at.alias("o"), F.posexplode("prefix").alias("pos", "token")).where(_may(common, "token"))
-    posted = posted.groupBy("token", "s", "t").agg(F.min("n").alias("n"), F.min("pos").alias("pos"), F.min("o").alias("o"))
-    posted = scratch.write(posted)
-
-    def candidates(later: DataFrame, earlier: DataFrame) -> DataFrame:
-        """(s, t, s2, t2, o2): classes that may match and come before."""
-        earlier = earlier.select("token", *[F.col(c).alias(f"{c}2") for c in ("s", "t", "n", "pos", "o")])
-        shared = F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2"))
-        fits = (whole * F.least("n", "n2") >= part * F.greatest("n", "n2")) & ((whole + part) * shared >= part * (F.col("n") + F.col("n2")))
-        return later.join(earlier, "token").where((F.col("o2") < F.col("o")) & fits).select("s", "t", "s2", "t2", "o2")
-
-    earliest = posted.groupBy("token").agg(F.min(F.struct("o", "s", "t", "n", "pos")).alias("c"), F.count("*").alias("k")).where("k > 1")
-    earliest = scratch.write(earliest.select("token", "c.*"))
-    first = candidates(posted, earliest).groupBy("s", "t").agg(F.min(F.struct("o2", "s2", "t2")).alias("c"))
-    first = scratch.write(first.select("s", "t", "c.s2", "c.t2"))
+    meta = scratch.write(signed_lines(docs, part, whole, short))
+    place = ["doc_id", "th", "line_no"]
+    grouped = meta.groupBy("s", "t").agg(F.min(F.struct(*place, "n", "g0", "g1", "prefix")).alias("f"), F.max(F.struct(*place)).alias("l"))
+    grouped = grouped.select("s", "t", "f.*", (F.struct(*[f"f.{c}" for c in place]) != F.col("l")).alias("many"))
+    ordered = grouped.repartitionByRange(*place, "s", "t").sortWithinPartitions(*place, "s", "t")
+    classes = scratch.write(ordered.withColumn("c", F.monotonically_increasing_id()))
 
     def matching(pairs: DataFrame) -> DataFrame:
-        """(s, t) of the later classes of pairs that match on both full sets."""
-        ends = scratch.write(pairs.select("s", "t").union(pairs.select("s2", "t2")).distinct())
-        wanted = sets.where(_may(_bitmap(ends, "s"), "s")).select("s", "t", "keys").join(ends, ["s", "t"], "left_semi")
-        wanted = scratch.write(wanted.dropDuplicates(["s", "t"]))
-        right = wanted.select(F.col("s").alias("s2"), F.col("t").alias("t2"), F.col("keys").alias("keys2"))
-        both = pairs.join(wanted, ["s", "t"]).join(right, ["s2", "t2"])
-        inter = F.size(F.array_intersect("keys", "keys2"))
-        good = (whole + part) * inter >= part * (F.size("keys") + F.size("keys2"))
-        return scratch.write(both.where(good).select("s", "t").distinct())
-
-    settled = matching(first)
-    rest = candidates(posted.join(settled, ["s", "t"], "left_anti"), posted).select("s", "t", "s2", "t2").distinct()
-    rest = scratch.write(rest.join(first, ["s", "t", "s2", "t2"], "left_anti"))
-    more = matching(rest)
-    gone = settled.union(more).withColumn("none", F.lit(True))
-    decided = classes.join(gone, ["s", "t"], "left").withColumn("none", F.coalesce("none", F.lit(False)))
-    decided = scratch.write(decided.where("none or first <> last").select("s", "t", "first", "none"))
-    gone = places.join(decided, ["s", "t"]).where(F.col("none") | (at != F.col("first")))
-    return gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("line_no")).alias("removed"))
+        """Of pairs (c, c2), those that match on the words of both."""
+        ends = pairs.select("c").union(pairs.select("c2")).distinct().join(classes.select("c", *place, "s", "t"), "c")
+        ends = scratch.write(ends)
+        wanted = _chosen(_lines(docs), ends, place)
+        same = [F.col(k).eqNullSafe(F.col(f"e_{k}")) for k in place]
+        wanted = wanted.join(ends.select("c", *[F.col(k).alias(f"e_{k}") for k in place]), same[0] & same[1] & same[2])
+        wanted = wanted.groupBy("c").agg(F.first("line").alias("line")).select("c", F.explode(F.array(_words("line"))).alias("words"))
+        wanted = scratch.write(wanted.select("c", _tokens("words", short).alias("words")))
+        other = wanted.select(F.col("c").alias("c2"), F.col("words").alias("words2"))
+        both = pairs.join(wanted, "c").join(other, "c2")
+        shared = F.size(F.array_intersect("words", "words2"))
+        good = F.lit(whole + part) * shared >= F.lit(part) * (F.size("words") + F.size("words2"))
+        out = scratch.write(both.where(good).select("c").distinct())
+        scratch.free(ends, wanted)
+        return out
+
+    settled: list[DataFrame] = []
+    left = classes.select("c", "n", "g0", "g1", "prefix")
+    for _ in range(ROUNDS):
+        few = left.select("c", "n", "g0", "g1", F.explode(F.slice(F.sort_array("prefix"), 1, PIVOTS)).alias("token"))
+        centre = few.groupBy("token").agg(F.min(F.struct("c", "n", "g0", "g1")).alias("f"), F.count("*").alias("k")).where("k > 1")
+        centre = centre.select("token", *[F.col(f"f.{k}").alias(f"{k}2") for k in ("c", "n", "g0", "g1")])
+        met = few.join(centre, "token").where((F.col("c2") < F.col("c")) & _may(part, whole))
+        pairs = scratch.write(met.groupBy("c").agg(F.min("c2").alias("c2")))
+        if not pairs.count():
+            break
+        found = matching(pairs)
+        settled.append(found)
+        rest = pairs.select("c").join(found, "c", "left_anti")
+        left = scratch.write(classes.select("c", "n", "g0", "g1", "prefix").join(rest, "c", "left_semi"))
+        if not left.count():
+            break
+    gone = classes.select("c").where(F.lit(False))
+    for found in settled:
+        gone = gone.union(found)
+    gone = scratch.write(gone)
+    scratch.collect_garbage()
+    # both sides of the join are the same exchange: what is settled has no earlier class to look for
+    open_ = classes.join(gone.withColumn("done", F.lit(True)), "c", "left").withColumn("below", F.when(F.col("done"), -1).otherwise(F.col("c")))
+    open_ = scratch.write(open_.select("c", "below", "n", "g0", "g1", "prefix"))
+    posted = open_.select("c", "below", "n", "g0", "g1", F.posexplode("prefix").alias("pos", "token"))
+    other = posted.select(*[F.col(k).alias(k if k == "token" else f"{k}2") for k in posted.columns])
+    shared = F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2"))
+    reach = F.lit(whole + part) * shared >= F.lit(part) * (F.col("n") + F.col("n2"))
+    pairs = scratch.write(posted.join(other, "token").where((F.col("c2") < F.col("below")) & reach & _may(part, whole)).select("c", "c2").distinct())
+    scratch.free(open_)
+    scratch.collect_garbage()
+    gone = gone.union(matching(pairs)).withColumn("none", F.lit(True))
+    decided = classes.join(gone, "c", "left").withColumn("none", F.coalesce("none", F.lit(False))).where("none or many")
+    decided = scratch.write(decided.select("s", "t", F.struct(*place).alias("first"), "none"))
+    out = meta.select("s", "t", *place).join(decided, ["s", "t"]).where(F.col("none") | (F.struct(*place) != F.col("first")))
+    out = scratch.write(out.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("line_no")).alias("removed")))
+    scratch.free(meta, classes, decided)
+    scratch.collect_garbage()
+    return out
+
+
+def _kept(removed: str, text: str) -> Column:
+    kept = F.filter(F.split(text, "\n", -1), lambda line, k: ~F.array_contains(removed, k))
+    return F.when(F.col(removed).isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
+
+
+def _with_removed(docs: DataFrame, **options) -> DataFrame:
+    """(row, text, removed): each row of docs as it is, its text, and the numbers of the lines that go (null for none)."""
+    found = repeated_lines(docs, **options)
+    found = found.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "removed")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows = rows.withColumn("text", F.col("row.text").cast("string")).withColumn("th", F.xxhash64("text"))
+    return rows.join(found, F.col("row.doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")), "left")
 
 
 def without_repeated_lines(docs: DataFrame, **options) -> DataFrame:
     """The documents with those lines taken out of text; other columns and the number of rows stay as they are."""
-    found = Scratch(docs.sparkSession, "lines").write(repeated_lines(docs, **options))
-    found = found.select(F.col("doc_id").alias("_found"), F.col("removed").alias("_removed"))
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    joined = packed.join(found, F.col("row.doc_id").eqNullSafe(F.col("_found")), "left")
-    kept = F.filter(F.split(F.col("row.text"), "\n", -1), lambda line, k: ~F.array_contains("_removed", k))
-    text = F.when(F.col("_removed").isNull(), F.col("row.text")).otherwise(F.array_join(kept, "\n"))
-    return joined.select(*[(text if c == "text" else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+    joined = _with_removed(docs, **options)
+    return joined.select(*[(_kept("removed", "text") if c == "text" else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def digest(docs: DataFrame, **options) -> DataFrame:
-    """(doc_id, n_lines, n_removed, kept_sha256) of each document."""
-    before = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1))).cast("long").alias("n_lines"))
-    found = Scratch(docs.sparkSession, "lines").write(repeated_lines(docs, **options))
-    found = found.select(F.col("doc_id").alias("_found"), F.col("removed").alias("_removed"))
-    joined = before.join(found, F.col("doc_id").eqNullSafe(F.col("_found")), "left")
-    kept = F.filter(F.split("text", "\n", -1), lambda line, k: ~F.array_contains("_removed", k))
-    text = F.when(F.col("_removed").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    return joined.select("doc_id", "n_lines", F.coalesce(F.size("_removed"), F.lit(0)).cast("long").alias("n_removed"), F.sha2(text, 256).alias("kept_sha256"))
+    """(doc_id, n_lines, n_removed, kept_sha256) of each document; a null text has no lines."""
+    joined = _with_removed(docs, **options)
+    lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1))).cast("long")
+    kept = F.sha2(F.coalesce(_kept("removed", "text"), F.lit("")), 256)
+    return joined.select(F.col("row.doc_id").alias("doc_id"), lines.alias("n_lines"), F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), kept.alias("kept_sha256"))

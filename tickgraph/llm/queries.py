@@ -65,8 +65,27 @@ def op8_toxicity(spark, sf_dir):
 
 
 def op4_line_dedup(spark, sf_dir):
-    return lines.digest(_table(spark, sf_dir, "documents"), **lines.WORDS)
-
+    return lines.digest(_table(spark, sf_dir, "documents"))
+
+
+OP4_SQL = r"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS k FROM documents),
+x AS (SELECT doc_id, k, list_filter(regexp_split_to_array(lower(line), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS v FROM l),
+big AS (SELECT doc_id, k, w, len(w) AS n FROM (
+  SELECT doc_id, k, CASE WHEN len(v) >= 5 THEN list_sort(list_distinct(v)) ELSE [' ' || array_to_string(v, ' ')] END AS w FROM x WHERE len(v) > 0)),
+cls AS (SELECT w, n, min((doc_id, k)) AS f, row_number() OVER () AS c FROM big GROUP BY w, n),
+tok AS (SELECT c, n, f, unnest(w) AS t FROM cls),
+df AS (SELECT t, count(*) AS d FROM tok GROUP BY t),
+pre AS (SELECT * FROM (SELECT c, n, f, tok.t, row_number() OVER (PARTITION BY c ORDER BY d, tok.t) AS r FROM tok JOIN df USING (t)) WHERE r <= n - ceil(n * 0.75) + 1),
+pairs AS (SELECT DISTINCT a.c AS a, b.c AS b FROM pre a JOIN pre b ON a.t = b.t AND b.f < a.f AND 4 * least(a.n, b.n) >= 3 * greatest(a.n, b.n)),
+later AS (SELECT DISTINCT p.a AS c FROM pairs p JOIN cls x ON x.c = p.a JOIN cls y ON y.c = p.b
+          WHERE 7 * len(list_intersect(x.w, y.w)) >= 3 * (x.n + y.n)),
+gone AS (SELECT big.doc_id, big.k FROM big JOIN cls USING (w, n) LEFT JOIN later USING (c) WHERE later.c IS NOT NULL OR (big.doc_id, big.k) <> cls.f),
+found AS (SELECT l.doc_id, count(*) AS n_lines, count(gone.k) AS n_removed, sha256(coalesce(string_agg(CASE WHEN gone.k IS NULL THEN line END, chr(10) ORDER BY l.k), '')) AS kept_sha256
+          FROM l LEFT JOIN gone USING (doc_id, k) GROUP BY l.doc_id)
+SELECT d.doc_id, coalesce(f.n_lines, 0)::BIGINT AS n_lines, coalesce(f.n_removed, 0)::BIGINT AS n_removed, coalesce(f.kept_sha256, sha256('')) AS kept_sha256
+FROM documents d LEFT JOIN found f USING (doc_id)
+"""
 
 def op5_licence_scan(spark, sf_dir):
     return licences.find_licences(_table(spark, sf_dir, "documents"))
@@ -116,4 +135,4 @@ QUERIES = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
 }
-SQL = {"op1_embedding_near_dedup": OP1_SQL, "op2_minhash_near_dedup": OP2_SQL, "op6_benchmark_decontamination": OP6_SQL}
+SQL = {"op1_embedding_near_dedup": OP1_SQL, "op2_minhash_near_dedup": OP2_SQL, "op4_line_dedup": OP4_SQL, "op6_benchmark_decontamination": OP6_SQL}
