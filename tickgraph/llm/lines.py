@@ -14,7 +14,7 @@ STEPS = 3
 #: Tokens of a line that look for a centre before the join of all.
 PIVOTS = 4
 #: Rounds of centres at most; what they leave is joined whole.
-ROUNDS = 6
+ROUNDS = 3
 #: Bits of a bitmap that the public bitmap functions make, and of all of them together at most.
 BITMAP, MOST_BITS = 32768, 1 << 28
 
@@ -43,9 +43,9 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.where("text is not null").select("doc_id", F.xxhash64(text).alias("th"), text.alias("text"))
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, th, line_no, line) of each line, spaced."""
-    return _rows(docs).select("doc_id", "th", _spaced("text").alias("text")).select("doc_id", "th", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+def _lines(rows: DataFrame) -> DataFrame:
+    """(doc_id, th, line_no, line) of each line of such rows, spaced."""
+    return rows.select("doc_id", "th", F.posexplode(F.split(_spaced("text"), "\n", -1)).alias("line_no", "line"))
 
 
 def _cell(row: int, token: str) -> str:
@@ -86,7 +86,7 @@ def signed_lines(docs: DataFrame, part: int, whole: int, short: int) -> DataFram
 
     # generators keep the plan from working an array out once for each use
     at = ["doc_id", "th", "line_no"]
-    lines = _lines(docs).select(*at, F.explode(F.array(_words("line"))).alias("words")).where("size(words) > 0")
+    lines = _lines(_rows(docs)).select(*at, F.explode(F.array(_words("line"))).alias("words")).where("size(words) > 0")
     hashed = lines.select(*at, F.explode(F.array(F.transform(_tokens("words", short), lambda w: F.xxhash64(w)))).alias("h"))
     keyed = hashed.select(*at, F.explode(F.array(F.sort_array(F.transform("h", key)))).alias("keys"))
     parity = "aggregate(keys, 0L, (a, k) -> a ^ if((k & 64) = {}, shiftleft(1L, cast(k & 63 as int)), 0L))"
@@ -98,9 +98,9 @@ def signed_lines(docs: DataFrame, part: int, whole: int, short: int) -> DataFram
     )
 
 
-def _chosen(rows: DataFrame, ids: DataFrame, columns: list[str]) -> DataFrame:
+def _chosen(rows: DataFrame, ids: DataFrame, count: int, columns: list[str]) -> DataFrame:
     """Of rows, all that have an equal one in ids and few others: bitmaps of hashes, 8 bits for each id and 32 MB at most."""
-    bits = max(1, min(MOST_BITS, 8 * ids.count()) // BITMAP)
+    bits = max(1, min(MOST_BITS, 8 * count) // BITMAP)
     place = F.pmod(F.xxhash64(*columns), F.lit(bits * BITMAP))
     spots = ids.select(place.alias("p")).select(F.expr(f"p div {BITMAP}").alias("_b"), (F.col("p") % BITMAP).alias("p"))
     maps = spots.groupBy("_b").agg(F.bitmap_construct_agg("p").alias("_map"))
@@ -149,7 +149,8 @@ def repeated_lines(docs: DataFrame, part: int = 75, whole: int = 100, short: int
         """Of pairs (c, c2), those that match on the words of both."""
         ends = pairs.select("c").union(pairs.select("c2")).distinct().join(classes.select("c", *place, "s", "t"), "c")
         ends = scratch.write(ends)
-        wanted = _chosen(_lines(docs), ends, place)
+        count = ends.count()
+        wanted = _chosen(_lines(_chosen(_rows(docs), ends, count, place[:2])), ends, count, place)
         same = [F.col(k).eqNullSafe(F.col(f"e_{k}")) for k in place]
         wanted = wanted.join(ends.select("c", *[F.col(k).alias(f"e_{k}") for k in place]), same[0] & same[1] & same[2])
         wanted = wanted.groupBy("c").agg(F.first("line").alias("line")).select("c", F.explode(F.array(_words("line"))).alias("words"))
