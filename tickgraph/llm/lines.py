@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from ..sources.scratch import Scratch
 
-#: Cells of each of the two rows of the table of token counts: at any size of the corpus.
-CELLS = 1 << 17
+#: Cells of the table of token counts, at any size of the corpus.
+CELLS = 1 << 18
 #: Steps of a doubling into which counts are put; a class must stay below 128.
 STEPS = 3
 #: Tokens of a line that look for a centre before the join of all.
-PIVOTS = 4
+PIVOTS = 3
 #: Rounds of centres at most; what they leave is joined whole.
 ROUNDS = 3
 #: Bits of a bitmap that the public bitmap functions make, and of all of them together at most.
@@ -31,10 +31,10 @@ def _words(line: str) -> Column:
     return F.array_remove(F.split(line, " "), "")
 
 
-def _tokens(words: str, short: int) -> Column:
+def _tokens(words: str, short: int, value) -> Column:
     """The distinct words; of fewer than `short`, their sequence as one token, which no word equals; null for none."""
-    sequence = F.array(F.concat(F.lit(" "), F.array_join(words, " ")))
-    return F.when(F.size(words) >= short, F.array_distinct(words)).when(F.size(words) > 0, sequence)
+    sequence = F.array(value(F.concat(F.lit(" "), F.array_join(words, " "))))
+    return F.when(F.size(words) >= short, F.array_distinct(F.transform(words, value))).when(F.size(words) > 0, sequence)
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -48,27 +48,22 @@ def _lines(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", "th", F.posexplode(F.split(_spaced("text"), "\n", -1)).alias("line_no", "line"))
 
 
-def _cell(row: int, token: str) -> str:
-    return f"pmod(xxhash64({token}, {row}), {CELLS})"
+def rarity(docs: DataFrame) -> list[int]:
+    """Classes of token counts, 0 for the rarest, in CELLS cells.
 
-
-def rarity(docs: DataFrame) -> list[list[int]]:
-    """Classes of token counts, 0 for the rarest, in two rows of CELLS cells.
-
-    Each token of all documents is counted by itself. A cell holds the largest count of the tokens that fall into it; a
-    token's class is the least of its two cells. That is its own count's class, but for a token that meets two more
-    frequent ones: the most frequent 10^5 tokens keep their own order, whatever the corpus, and rare ones may come a
-    little later in it. Any one order of all tokens makes the prefix filter exact. The driver gets a row for each cell.
+    Each token of all documents is counted by itself. A cell holds the largest count of the tokens that fall into it,
+    and that is the class of them all: of the 10^5 most frequent tokens nearly all keep their own order, whatever the
+    corpus, and some rarer ones come later in it than their own count would have it. Any one order of all tokens makes
+    the prefix filter exact. The driver gets a row for each cell.
     """
     text = F.replace(_spaced("text"), F.lit("\n"), F.lit(" "))
     words = _rows(docs).select(F.explode(F.split(text, " ")).alias("w")).where("w <> ''")
     counts = words.select(F.xxhash64("w").alias("h")).groupBy("h").agg(F.count("*").alias("n"))
-    spots = counts.select("n", F.explode(F.expr(f"array({_cell(0, 'h')}, {CELLS} + {_cell(1, 'h')})")).alias("c"))
-    cells = spots.groupBy("c").agg(F.max("n").alias("n")).select(F.col("c").cast("int"), F.floor(F.log2("n") * STEPS).cast("int").alias("k"))
-    out = [0] * (2 * CELLS)
-    for c, k in cells.collect():
+    cells = counts.groupBy((F.col("h").bitwiseAND(F.lit(CELLS - 1))).cast("int").alias("c")).agg(F.max("n").alias("n"))
+    out = [0] * CELLS
+    for c, k in cells.select("c", F.floor(F.log2("n") * STEPS).cast("int")).collect():
         out[c] = min(k, 127)
-    return [out[:CELLS], out[CELLS:]]
+    return out
 
 
 def signed_lines(docs: DataFrame, part: int, whole: int, short: int) -> DataFrame:
@@ -78,16 +73,16 @@ def signed_lines(docs: DataFrame, part: int, whole: int, short: int) -> DataFram
     32-bit hashes; g0 and g1 are parities of the tokens' hashes, 128 in all: each token that only one of two sets has
     changes one of them.
     """
-    rows = [F.split(F.lit(",".join(map(str, row))), ",").cast("array<tinyint>") for row in rarity(docs)]
+    table = F.split(F.lit(",".join(map(str, rarity(docs)))), ",").cast("array<tinyint>")
 
     def key(h: Column) -> Column:
-        spots = [F.get(row, F.pmod(F.xxhash64(h, F.lit(k)), F.lit(CELLS)).cast("int")) for k, row in enumerate(rows)]
-        return F.shiftleft(F.coalesce(F.least(*spots), F.lit(0)).cast("long"), 56).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1)))
+        place = F.get(table, h.bitwiseAND(F.lit(CELLS - 1)).cast("int")).cast("long")
+        return F.coalesce(F.shiftleft(place, 56).bitwiseOR(F.shiftrightunsigned(h, 8)), F.lit(0).cast("long"))
 
     # generators keep the plan from working an array out once for each use
     at = ["doc_id", "th", "line_no"]
     lines = _lines(_rows(docs)).select(*at, F.explode(F.array(_words("line"))).alias("words")).where("size(words) > 0")
-    hashed = lines.select(*at, F.explode(F.array(F.transform(_tokens("words", short), lambda w: F.xxhash64(w)))).alias("h"))
+    hashed = lines.select(*at, F.explode(F.array(_tokens("words", short, lambda w: F.xxhash64(w)))).alias("h"))
     keyed = hashed.select(*at, F.explode(F.array(F.sort_array(F.transform("h", key)))).alias("keys"))
     parity = "aggregate(keys, 0L, (a, k) -> a ^ if((k & 64) = {}, shiftleft(1L, cast(k & 63 as int)), 0L))"
     prefix = F.col("n") - F.ceil(F.col("n") * part / whole).cast("int") + 1
@@ -138,12 +133,16 @@ def repeated_lines(docs: DataFrame, part: int = 75, whole: int = 100, short: int
     columns are ignored.
     """
     scratch = Scratch(docs.sparkSession, "lines")
-    meta = scratch.write(signed_lines(docs, part, whole, short))
     place = ["doc_id", "th", "line_no"]
+    meta = scratch.write(signed_lines(docs, part, whole, short))
+    scratch.collect_garbage()
     grouped = meta.groupBy("s", "t").agg(F.min(F.struct(*place, "n", "g0", "g1", "prefix")).alias("f"), F.max(F.struct(*place)).alias("l"))
     grouped = grouped.select("s", "t", "f.*", (F.struct(*[f"f.{c}" for c in place]) != F.col("l")).alias("many"))
     ordered = grouped.repartitionByRange(*place, "s", "t").sortWithinPartitions(*place, "s", "t")
-    classes = scratch.write(ordered.withColumn("c", F.monotonically_increasing_id()))
+    sets = scratch.write(ordered.withColumn("c", F.monotonically_increasing_id()))
+    places, classes = scratch.write(meta.select("s", "t", *place)), scratch.write(sets.select("c", "s", "t", *place, "many"))
+    scratch.free(meta)
+    scratch.collect_garbage()
 
     def matching(pairs: DataFrame) -> DataFrame:
         """Of pairs (c, c2), those that match on the words of both."""
@@ -154,7 +153,7 @@ def repeated_lines(docs: DataFrame, part: int = 75, whole: int = 100, short: int
         same = [F.col(k).eqNullSafe(F.col(f"e_{k}")) for k in place]
         wanted = wanted.join(ends.select("c", *[F.col(k).alias(f"e_{k}") for k in place]), same[0] & same[1] & same[2])
         wanted = wanted.groupBy("c").agg(F.first("line").alias("line")).select("c", F.explode(F.array(_words("line"))).alias("words"))
-        wanted = scratch.write(wanted.select("c", _tokens("words", short).alias("words")))
+        wanted = scratch.write(wanted.select("c", _tokens("words", short, lambda w: w).alias("words")))
         other = wanted.select(F.col("c").alias("c2"), F.col("words").alias("words2"))
         both = pairs.join(wanted, "c").join(other, "c2")
         shared = F.size(F.array_intersect("words", "words2"))
@@ -164,7 +163,7 @@ def repeated_lines(docs: DataFrame, part: int = 75, whole: int = 100, short: int
         return out
 
     settled: list[DataFrame] = []
-    left = classes.select("c", "n", "g0", "g1", "prefix")
+    left = sets.select("c", "n", "g0", "g1", "prefix")
     for _ in range(ROUNDS):
         few = left.select("c", "n", "g0", "g1", F.explode(F.slice(F.sort_array("prefix"), 1, PIVOTS)).alias("token"))
         centre = few.groupBy("token").agg(F.min(F.struct("c", "n", "g0", "g1")).alias("f"), F.count("*").alias("k")).where("k > 1")
@@ -176,17 +175,19 @@ def repeated_lines(docs: DataFrame, part: int = 75, whole: int = 100, short: int
         found = matching(pairs)
         settled.append(found)
         rest = pairs.select("c").join(found, "c", "left_anti")
-        left = scratch.write(classes.select("c", "n", "g0", "g1", "prefix").join(rest, "c", "left_semi"))
+        left = scratch.write(sets.select("c", "n", "g0", "g1", "prefix").join(rest, "c", "left_semi"))
+        scratch.collect_garbage()
         if not left.count():
             break
     gone = classes.select("c").where(F.lit(False))
     for found in settled:
         gone = gone.union(found)
     gone = scratch.write(gone)
-    scratch.collect_garbage()
     # both sides of the join are the same exchange: what is settled has no earlier class to look for
-    open_ = classes.join(gone.withColumn("done", F.lit(True)), "c", "left").withColumn("below", F.when(F.col("done"), -1).otherwise(F.col("c")))
+    open_ = sets.join(gone.withColumn("done", F.lit(True)), "c", "left").withColumn("below", F.when(F.col("done"), -1).otherwise(F.col("c")))
     open_ = scratch.write(open_.select("c", "below", "n", "g0", "g1", "prefix"))
+    scratch.free(sets)
+    scratch.collect_garbage()
     posted = open_.select("c", "below", "n", "g0", "g1", F.posexplode("prefix").alias("pos", "token"))
     other = posted.select(*[F.col(k).alias(k if k == "token" else f"{k}2") for k in posted.columns])
     shared = F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2"))
@@ -197,9 +198,9 @@ def repeated_lines(docs: DataFrame, part: int = 75, whole: int = 100, short: int
     gone = gone.union(matching(pairs)).withColumn("none", F.lit(True))
     decided = classes.join(gone, "c", "left").withColumn("none", F.coalesce("none", F.lit(False))).where("none or many")
     decided = scratch.write(decided.select("s", "t", F.struct(*place).alias("first"), "none"))
-    out = meta.select("s", "t", *place).join(decided, ["s", "t"]).where(F.col("none") | (F.struct(*place) != F.col("first")))
+    out = places.join(decided, ["s", "t"]).where(F.col("none") | (F.struct(*place) != F.col("first")))
     out = scratch.write(out.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("line_no")).alias("removed")))
-    scratch.free(meta, classes, decided)
+    scratch.free(places, classes, decided)
     scratch.collect_garbage()
     return out
 
