@@ -4,47 +4,53 @@ import re
 
 from pyspark.sql import functions as F
 
-from tickgraph.llm import lines
+from tickgraph.llm import lines, queries
+
+
+def sets_of(text):
+    """The token set of each line: its words, or of fewer than five words their sequence as one token."""
+    for line in text.split("\n"):
+        w = re.findall(r"[^\x20\x09-\x0D]+", line.lower())
+        yield line, ({tuple(w)} if 0 < len(w) < 5 else set(w))
 
 
 def brute(texts):
+    """(place, lines, removed lines, digest of what is left) of each text, in order."""
     seen, out = [], []
     for d, text in enumerate(texts):
-        rows = (text or "").split("\n")
-        kept = []
-        for line in rows:
-            low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in line)
-            w = re.findall(r"[^\x20\x09-\x0D]+", low)
-            s = {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
-            gone = any(100 * len(s & o) >= 75 * len(s | o) for o in seen)
+        kept, gone = [], 0
+        for line, s in sets_of(text or ""):
+            match = any(100 * len(s & o) >= 75 * len(s | o) for o in seen)
             if s:
                 seen.append(s)
-            if not gone:
+            gone += match
+            if not match:
                 kept.append(line)
-        n = 0 if text is None else len(rows)
-        out.append((d, n, len(rows) - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest()))
+        n = 0 if text is None else len(text.split("\n"))
+        out.append((d, n, gone, hashlib.sha256("\n".join(kept).encode()).hexdigest()))
     return out
 
 
 def texts_of():
     rng = random.Random(5)
-    words = [f"w{k}" for k in range(60)] + ["the"] * 20
-    base = [[rng.choice(words) for _ in range(rng.choice([3, 5, 8, 20, 60]))] for _ in range(25)]
-    out = [None, "", "\n\n", "a b c d", "a b c d", "Same line of five words\r", "SAME line  of five words", "x " * 5000]
-    for _ in range(40):
+    words = [f"w{k}" for k in range(60)] + ["the", "of", "fluff", "\u00dcBER"] * 5
+    base = [[rng.choice(words) for _ in range(rng.choice([1, 3, 5, 8, 20, 60, 150]))] for _ in range(25)]
+    out = [None, "", "\n\n", "a b c d", "a b c d", "Same line of five words\r", "SAME line  of five words", "x " * 5000, " ".join(f"y{k}" for k in range(3000))]
+    out += ["of fluff", "o lu", "of\ffluff", "one\ftwo\x0bthree\tfour five", "one two three four five"]
+    for _ in range(60):
         rows = []
         for _ in range(rng.randint(1, 6)):
             row = list(rng.choice(base))
-            for _ in range(rng.choice([0, 0, 1, 2, 5])):
+            for _ in range(rng.choice([0, 0, 1, 2, 5, 12])):
                 row[rng.randrange(len(row))] = rng.choice(words)
             rows.append(" ".join(row))
         out.append("\n".join(rows))
-    return out
+    return [*out, out[8], out[8] + " tail"]
 
 
 def test_equals_brute_force(spark):
     texts = texts_of()
-    docs = spark.createDataFrame([(i, t, "k", 1) for i, t in enumerate(texts)], "doc_id long, text string, keys string, n int").repartition(3)
+    docs = spark.createDataFrame([(i, t, "k", 1) for i, t in enumerate(texts)], "doc_id long, text string, prefix string, c int").repartition(3)
     assert sorted(tuple(r) for r in lines.digest(docs).collect()) == brute(texts)
     kept = lines.without_repeated_lines(docs)
     assert kept.columns == docs.columns and kept.count() == len(texts)
@@ -52,6 +58,29 @@ def test_equals_brute_force(spark):
     assert got == {d: h for d, _, _, h in brute(texts)}
 
 
+def test_query_over_a_group_of_near_copies(spark, tmp_path):
+    rng = random.Random(2)
+    base = [f"word{k}" for k in range(40)]
+    texts = []
+    for k in range(60):
+        row = list(base)
+        for _ in range(rng.randint(1, 8)):
+            row[rng.randrange(40)] = f"own{k}x{rng.randrange(9)}"
+        texts.append(" ".join(row))
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(tuple(r) for r in queries.op4_line_dedup(spark, str(tmp_path)).collect())
+    assert got == brute(texts) and 20 < sum(r[2] for r in got) < 60
+
+
+def test_repeated_and_null_ids(spark):
+    line = "a line of six common words"
+    rows = [(1, line), (1, line), (None, line), (1, line + " more"), (None, "quite another line it is here"), (2, "quite another line it is here")]
+    got = lines.without_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    # null ids come first; equal rows are one document; another text of the same id is a document of its own
+    want = [(None, line), (None, "quite another line it is here"), (1, ""), (1, ""), (1, ""), (2, "")]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+
+
 def test_no_python_in_the_plan(spark):
     docs = spark.createDataFrame([(1, "a b c d e f\na b c d e f")], "doc_id long, text string")
     plan = lines.without_repeated_lines(docs)._jdf.queryExecution().toString()

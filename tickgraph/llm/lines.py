@@ -183,7 +183,7 @@ def repeated_lines(docs: DataFrame, part: int = 75, whole: int = 100, short: int
     for found in settled:
         gone = gone.union(found)
     gone = scratch.write(gone)
-    # both sides of the join are the same exchange: what is settled has no earlier class to look for
+    # what is settled has no earlier class to look for; both sides have the same columns, so that they are one exchange
     open_ = sets.join(gone.withColumn("done", F.lit(True)), "c", "left").withColumn("below", F.when(F.col("done"), -1).otherwise(F.col("c")))
     open_ = scratch.write(open_.select("c", "below", "n", "g0", "g1", "prefix"))
     scratch.free(sets)
@@ -192,7 +192,7 @@ def repeated_lines(docs: DataFrame, part: int = 75, whole: int = 100, short: int
     other = posted.select(*[F.col(k).alias(k if k == "token" else f"{k}2") for k in posted.columns])
     shared = F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2"))
     reach = F.lit(whole + part) * shared >= F.lit(part) * (F.col("n") + F.col("n2"))
-    pairs = scratch.write(posted.join(other, "token").where((F.col("c2") < F.col("below")) & reach & _may(part, whole)).select("c", "c2").distinct())
+    pairs = scratch.write(posted.join(other, "token").where((F.col("c2") < F.col("below")) & (F.col("below2") < F.col("c")) & reach & _may(part, whole)).select("c", "c2").distinct())
     scratch.free(open_)
     scratch.collect_garbage()
     gone = gone.union(matching(pairs)).withColumn("none", F.lit(True))
