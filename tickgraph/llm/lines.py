@@ -183,16 +183,17 @@ def repeated_lines(docs: DataFrame, part: int = 75, whole: int = 100, short: int
     for found in settled:
         gone = gone.union(found)
     gone = scratch.write(gone)
-    # what is settled has no earlier class to look for; both sides have the same columns, so that they are one exchange
+    # what is settled has no earlier class to look for; both sides are one exchange, as no column of either is renamed or left out
     open_ = sets.join(gone.withColumn("done", F.lit(True)), "c", "left").withColumn("below", F.when(F.col("done"), -1).otherwise(F.col("c")))
     open_ = scratch.write(open_.select("c", "below", "n", "g0", "g1", "prefix"))
     scratch.free(sets)
     scratch.collect_garbage()
     posted = open_.select("c", "below", "n", "g0", "g1", F.posexplode("prefix").alias("pos", "token"))
-    other = posted.select(*[F.col(k).alias(k if k == "token" else f"{k}2") for k in posted.columns])
-    shared = F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2"))
-    reach = F.lit(whole + part) * shared >= F.lit(part) * (F.col("n") + F.col("n2"))
-    pairs = scratch.write(posted.join(other, "token").where((F.col("c2") < F.col("below")) & (F.col("below2") < F.col("c")) & reach & _may(part, whole)).select("c", "c2").distinct())
+    near = ["a.token = b.token", "b.c < a.below", "b.below < a.c", f"{whole + part} * least(a.n - a.pos, b.n - b.pos) >= {part} * (a.n + b.n)"]
+    near += [f"{whole} * least(a.n, b.n) >= {part} * greatest(a.n, b.n)"]
+    near += [f"{whole + part} * (bit_count(a.g0 ^ b.g0) + bit_count(a.g1 ^ b.g1)) <= {whole - part} * (a.n + b.n)"]
+    met = posted.alias("a").join(posted.alias("b"), F.expr(" AND ".join(near)))
+    pairs = scratch.write(met.select(F.col("a.c").alias("c"), F.col("b.c").alias("c2")).distinct())
     scratch.free(open_)
     scratch.collect_garbage()
     gone = gone.union(matching(pairs)).withColumn("none", F.lit(True))
