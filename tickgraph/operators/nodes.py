@@ -134,10 +134,12 @@ class Source(Node):
             b.ticks[self] = None
             return
         if self.policy.greedy:
-            held = PublishStep(self.policy, self.initial)
-            b.add(f"{name}__raw", filled)
-            b.fold(name, _First(held), [f"{name}__raw"], self.type, None)
-            change = ~F.col(name).eqNullSafe(F.lag(name).over(b.window()))
+            sent = PublishStep(self.policy, self.initial)
+            b.add(f"{name}__raw", raw)
+            folds = {f"{name}__held": (_Part(sent, 0), [f"{name}__raw"], self.type), f"{name}__sent": (_Part(sent, 1), [f"{name}__raw"], "boolean")}
+            b.df = keyed_fold(b.df, b.key, b.seq, folds)
+            b.add(name, F.col(f"{name}__held") if self.initial is None else F.coalesce(f"{name}__held", F.lit(self.initial)))
+            change = raw.isNotNull() & F.coalesce(f"{name}__sent", F.lit(False))  # a published value may equal the one before
         else:
             b.add(name, filled)
             before = F.lag(name).over(b.window())
@@ -147,17 +149,17 @@ class Source(Node):
         b.ticks[self] = tick
 
 
-class _First(Step):
-    """The value of a step that gives (value, flag)."""
+class _Part(Step):
+    """One of the values of a step that gives several."""
 
-    def __init__(self, step: Step):
-        self.inner = step
+    def __init__(self, step: Step, part: int):
+        self.inner, self.part = step, part
 
     def start(self):
         return self.inner.start()
 
     def step(self, state, x):
-        return self.inner.step(state, x)[0]
+        return self.inner.step(state, x)[self.part]
 
 
 class OpNode(Node):

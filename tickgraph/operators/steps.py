@@ -189,6 +189,15 @@ class RateLimiterStep(Step):
         return state["last"]
 
 
+class PassedStep(RateLimiterStep):
+    """Whether the rate limiter lets the sample through."""
+
+    def step(self, state, x):
+        passed = not state["has"] or abs(x - state["last"]) >= self.min_delta
+        super().step(state, x)
+        return passed
+
+
 class DebounceStep(Step):
     def __init__(self, required: int):
         self.required = required

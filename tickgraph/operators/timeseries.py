@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..errors import InvalidArgument
 from ..functions import ieee
 from . import steps
+from .folds import keyed_fold
 from .nodes import Builder, Node, column_name
 
 START = Window.unboundedPreceding
@@ -404,8 +405,17 @@ class RateLimiter(SeriesNode):
     def step(self):
         return steps.RateLimiterStep(self.min_delta)
 
+    def build(self, b):
+        name = column_name(self.name)
+        tick = b.any_tick(name, self.inputs)
+        b.ticks[self] = tick
+        up = [column_name(self.inputs[0].name)]
+        folds = {name: (self.step(), up, self.fold_type), f"{name}__passed": (steps.PassedStep(self.min_delta), up, "boolean")}
+        b.df = keyed_fold(b.df, b.key, b.seq, folds, dict.fromkeys(folds, tick) if tick else None)
+
     def partials(self, *xs):
-        return [F.when(self.column == self.inputs[0].column, F.lit(1.0)).otherwise(F.lit(0.0))]
+        """1 where the sample was let through; a held one has 0, equal to the last one let through or not."""
+        return [F.when(self.extra("passed"), F.lit(1.0)).otherwise(F.lit(0.0))]
 
 
 class DebounceCount(SeriesNode):

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import dual, ieee
 from ..operators import nodes as N
 from ..operators import timeseries as T
-from ..operators.policies import AlwaysChanged, Epsilon, TypedEquality
+from ..operators.policies import AlwaysChanged, Epsilon, Predicate, TypedEquality
 from ..sources import feeds
 from . import aad, graph, reduction
 
@@ -298,6 +298,29 @@ def policy_epsilon(spark, sf_dir):
     return rounded(events(spark, sf_dir).compile(x), held=x.column)
 
 
+@query(recursive("b.value", f"CASE WHEN abs(b.value - r.y) < {EPSILON} THEN r.y ELSE b.value END") + f""",
+t AS (SELECT user_id, event_id, y, NOT coalesce(abs(value - lag(y) {w()}) < {EPSILON}, false) AS tick FROM rec JOIN events USING (user_id, event_id)),
+m AS (SELECT user_id, event_id, sum(y) {w(3)} AS s FROM t WHERE tick)
+SELECT t.user_id, t.event_id, round(last_value(s IGNORE NULLS) {UP_TO_HERE.replace("user_id", "t.user_id").replace("event_id", "t.event_id")}, 6) AS total
+FROM t LEFT JOIN m ON m.user_id = t.user_id AND m.event_id = t.event_id""")
+def policy_epsilon_window(spark, sf_dir):
+    total = T.RollingSum("total", N.Source("held", "value", Epsilon(float(EPSILON))), 3)
+    return rounded(events(spark, sf_dir).compile(total), total=total.column)
+
+
+@query(f"SELECT user_id, event_id, sum(floor(value / 50)) {w(3)} AS total FROM events")
+def policy_predicate_window(spark, sf_dir):
+    """A predicate that calls nothing equal: repeated values are ticks too."""
+    g = events(spark, sf_dir)
+    g = graph.Graph(g.df.withColumn("value", F.floor(F.col("value") / 50).cast("double")), "user_id", "event_id")
+    total = T.RollingSum("total", N.Source("x", "value", Predicate(_never)), 3)
+    return rounded(g.compile(total), total=total.column)
+
+
+def _never(a, b) -> bool:
+    return False
+
+
 @query(f"""WITH e AS (SELECT user_id, event_id, floor(value / 10) AS v FROM events),
 t AS (SELECT *, row_number() {w()} = 1 OR v IS DISTINCT FROM lag(v) {w()} AS tick FROM e),
 m AS (SELECT user_id, event_id, avg(v) {w(5)} AS m, v - lag(v) {w()} AS d FROM t WHERE tick),
@@ -339,6 +362,17 @@ def src_queue_drop_oldest(spark, sf_dir):
     return _batches(spark, sf_dir, 2)
 
 
+@query(f"""WITH p AS (SELECT user_id, cycle, string_agg(event_id::VARCHAR, ',' ORDER BY event_id) FILTER (k <= 2) AS batch, greatest(count(*) - 2, 0) AS dropped
+  FROM (SELECT *, row_number() OVER (PARTITION BY user_id, cycle ORDER BY event_id DESC) AS k FROM {_HOURLY}) GROUP BY user_id, cycle),
+c AS (SELECT user_id, unnest(range(min(cycle), max(cycle) + 2)) AS cycle FROM p GROUP BY user_id)
+SELECT user_id, cycle, coalesce(batch, '') AS batch, (sum(coalesce(dropped, 0)) OVER (PARTITION BY user_id ORDER BY cycle))::BIGINT AS dropped_count FROM c LEFT JOIN p USING (user_id, cycle)""")
+def src_queue_cycles(spark, sf_dir):
+    posts = _hourly(spark, sf_dir)
+    cycles = posts.groupBy("user_id").agg(F.explode(F.sequence(F.min("cycle"), F.max("cycle") + 1)).alias("cycle"))
+    out = feeds.queue_cycles(cycles, posts, ["user_id"], "cycle", "event_id", "event_id", 2)
+    return out.withColumn("batch", F.array_join(F.col("batch").cast("array<string>"), ","))
+
+
 @query("""SELECT user_id, event_id AS seq, round(value, 6) AS value, 'events' AS source FROM events
 UNION ALL SELECT o_custkey, o_orderkey, round(o_totalprice, 6), 'orders' FROM orders""")
 def src_registry_union(spark, sf_dir):
@@ -419,6 +453,15 @@ def aad_stateful_gradient(spark, sf_dir):
     return rounded(events(spark, sf_dir).compile(e, z, o, m), **by)
 
 
+@query(recursive("b.value", "CASE WHEN abs(b.value - r.y) >= 25 THEN b.value ELSE r.y END") + f"""SELECT user_id, event_id,
+1.0::DOUBLE AS total, (CASE WHEN rn = 1 THEN 0 ELSE 1 END)::DOUBLE AS delta, 1.0::DOUBLE AS same, 0.0::DOUBLE AS later,
+(CASE WHEN coalesce(abs(value - lag(y) {w()}) >= 25, true) THEN 1 ELSE 0 END)::DOUBLE AS limited FROM rec JOIN events USING (user_id, event_id)""")
+def aad_stateful_gradient_2(spark, sf_dir):
+    x = source()
+    made = {"total": T.RollingSum("s", x, 16), "delta": T.Delta("d", x), "same": T.Delay("d0", x, 0), "later": T.Delay("d2", x, 2), "limited": T.RateLimiter("l", x, 25.0)}
+    return rounded(events(spark, sf_dir).compile(*made.values()), **{k: aad.adjoints(n, [x])[0] for k, n in made.items()})
+
+
 @query(f"SELECT {LINE}, round(CASE WHEN l_discount = 0 THEN 0 ELSE l_tax * 0.5 / sqrt(l_discount) END, 6) AS slope FROM lineitem WHERE l_discount > 0 OR l_tax = 0")
 def aad_zero_rule(spark, sf_dir):
     z, d = N.Source("z", "l_tax", AlwaysChanged()), N.Source("d", "l_discount", AlwaysChanged())
@@ -476,13 +519,26 @@ def reduce_newton_sqrt(spark, sf_dir):
     return read(spark, sf_dir, "orders").withColumn("x", F.lit(1.0)).select("o_orderkey", r(solved).alias("root"))
 
 
-@query("""WITH e AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
-p AS (SELECT user_id, max(value) FILTER (n = 1) AS a, max(value) FILTER (n = 2) AS b, max(value) FILTER (n = 3) AS c FROM e GROUP BY user_id)
-SELECT user_id, round((-4 * a - b + 5 * c) / 14, 6) AS slope, round((14 * a + 7 * b - 7 * c) / 14, 6) AS intercept FROM p WHERE c IS NOT NULL""")
+@query("SELECT o_orderkey, round(sqrt(o_totalprice), 6) AS root FROM orders")
+def reduce_node_newton(spark, sf_dir):
+    """The solver as a node of the graph, fed by a source."""
+    x, y = N.Constant("x", 1.0), N.Source("y", "o_totalprice", AlwaysChanged())
+    solve = lambda f, target: reduction.newton(f, target, F.sqrt(target) * 0.7 + 1.0, 7)
+    node = reduction.ReductionNode("root", N.OpNode("square", "product", x, x), [x], [y], solve)
+    df = read(spark, sf_dir, "orders")
+    for n in graph.topological([node]):
+        df = df.withColumn(n.name, F.col(n.source) if isinstance(n, N.Source) else n.apply(*[i.column for i in n.inputs]))
+    return df.select("o_orderkey", r(node.column).alias("root"))
+
+
+@query(f"""WITH p AS (SELECT user_id, event_id, lag(value, 2) {w()} AS a, lag(value) {w()} AS b, value AS c FROM events)
+SELECT user_id, event_id, round((-4 * a - b + 5 * c) / 14, 6) AS slope, round((14 * a + 7 * b - 7 * c) / 14, 6) AS intercept FROM p WHERE a IS NOT NULL""")
 def reduce_linefit(spark, sf_dir):
+    """The line through the latest three values of a key at t = 1, 2 and 4, fitted anew at each event."""
     e = events(spark, sf_dir)
-    ranked = e.df.withColumn("n", F.row_number().over(graph.Builder(e.df, "user_id", "event_id").window()))
-    df = ranked.where("n <= 3").groupBy("user_id").pivot("n", [1, 2, 3]).agg(F.max("value")).where("`3` is not null")
+    own = graph.Builder(e.df, "user_id", "event_id").window()
+    df = e.df.select("user_id", "event_id", F.lag("value", 2).over(own).alias("1"), F.lag("value").over(own).alias("2"), F.col("value").alias("3"))
+    df = df.where("`1` is not null")
     slope, intercept = N.Constant("slope", 0.0), N.Constant("intercept", 0.0)
     roots = []
     for k, t in ((1, 1.0), (2, 2.0), (3, 4.0)):
@@ -493,7 +549,7 @@ def reduce_linefit(spark, sf_dir):
     for n in graph.topological(roots):
         df = df.withColumn(n.name, F.col(f"`{n.source}`") if isinstance(n, N.Source) else n.apply(*[i.column for i in n.inputs]))
     a, b = reduction.gauss_newton(f, [F.lit(0.0), F.lit(0.0)])
-    return df.select("user_id", r(a).alias("slope"), r(b).alias("intercept"))
+    return df.select("user_id", "event_id", r(a).alias("slope"), r(b).alias("intercept"))
 
 
 @query(recursive("b.value", "b.value + 0.5 * r.y") + "SELECT user_id, event_id, round(y + 1e-9, 6) AS y FROM rec")

@@ -29,6 +29,18 @@ def queue_batches(df: DataFrame, key: list[str], seq: str, value: str, capacity:
     )
 
 
+def queue_cycles(cycles: DataFrame, posts: DataFrame, key: list[str], cycle: str, seq: str, value: str, capacity: int = 4096) -> DataFrame:
+    """What a queue hands over at each of the given cycles: (key..., cycle, batch, dropped_count).
+
+    A cycle without posts has an empty batch; dropped_count counts all posts that the queue has dropped up to there.
+    """
+    batches = queue_batches(posts, [*key, cycle], seq, value, capacity)
+    joined = cycles.select(*key, cycle).join(batches, [*key, cycle], "left")
+    so_far = Window.partitionBy(*key).orderBy(cycle).rowsBetween(Window.unboundedPreceding, 0)
+    empty = F.array().cast(batches.schema["batch"].dataType)
+    return joined.select(*key, cycle, F.coalesce("batch", empty).alias("batch"), F.sum(F.coalesce("dropped", F.lit(0))).over(so_far).alias("dropped_count"))
+
+
 def registry(*sources: tuple[str, DataFrame]) -> DataFrame:
     """Tagged sources of one schema as one; a source given twice under its name counts once."""
     out = None
