@@ -10,11 +10,15 @@ def brute(rows, threshold=0.93):
     def usable(v, label):
         return label is not None and v is not None and all(x is not None and math.isfinite(x) for x in v) and any(v)
 
-    units = [np.array(v, np.float64) / np.linalg.norm(np.array(v, np.float64)) if usable(v, l) else None for _, v, l in rows]
+    def unit(v):
+        x = np.array(v, np.float64) / max(map(abs, v))
+        return x / np.linalg.norm(x)
+
+    units = [unit(v) if usable(v, l) else None for _, v, l in rows]
     n, group = [0] * len(rows), [r[0] for r in rows]
     for i in range(len(rows)):
         for j in range(i):
-            if units[i] is not None and units[j] is not None and rows[i][2] == rows[j][2] and float(units[i] @ units[j]) >= threshold:
+            if units[i] is not None and units[j] is not None and rows[i][2] == rows[j][2] and len(units[i]) == len(units[j]) and float(units[i] @ units[j]) >= threshold:
                 n[i] += 1
                 n[j] += 1
                 a, b = sorted((group[i], group[j]))
@@ -64,3 +68,22 @@ def test_interval_join_skips_nothing():
     assert set(zip(i.tolist(), j.tolist(), strict=True)) == want and len(i) == len(want)
     i, j = embeddings.join_blocks(x[:150], x[150:], 0.93, eps, leaf=8)
     assert set(zip(i.tolist(), (j + 150).tolist(), strict=True)) == {(a, b) for a, b in want if a < 150 <= b}
+
+
+def test_lengths_huge_values_and_repeated_ids(spark):
+    rows = [(1, [1.0, 0.0, 0.0], 0), (2, [1.0, 0.05, 0.0], 0), (3, [0.0, 1e200], 0), (4, [0.0, 1.0], 0), (5, [1e-200, 0.0], 0), (6, [3.0, 0.0], 0), (7, [3.0, 0.0], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    assert sorted(tuple(r) for r in embeddings.near_duplicates(df).collect()) == brute(rows)
+    twice = spark.createDataFrame([(1, [1.0, 0.0], 0), (1, [1.0, 0.0], 0), (None, [1.0, 0.0], 0)], "vec_id long, embedding array<double>, label int")
+    got = sorted((tuple(r) for r in embeddings.near_duplicates(twice).collect()), key=str)
+    assert got == [(1, 1, 1, True), (1, 1, 1, True), (None, 1, 1, True)]
+
+
+def test_many_intervals(spark):
+    rng = random.Random(4)
+    rows = []
+    for k in range(150):
+        base = [rng.gauss(0, 1) for _ in range(8)]
+        rows += [(2 * k, base, 0), (2 * k + 1, [x + 0.1 * rng.gauss(0, 1) for x in base], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3)
+    assert sorted(tuple(r) for r in embeddings.near_duplicates(df, block=2).collect()) == brute(rows)

@@ -13,6 +13,8 @@ from ..sources.scratch import Scratch
 
 #: Slack of the grid against rounding of the projected coordinates.
 SLACK = 1e-6
+#: Blocks of an interval of the order.
+INTERVAL = 32
 
 
 def principal_axes(moments: np.ndarray, count: int) -> np.ndarray:
@@ -21,19 +23,12 @@ def principal_axes(moments: np.ndarray, count: int) -> np.ndarray:
     return axes[:, ::-1]
 
 
-def _unit(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows that hold a usable vector of `size` numbers, and those vectors scaled to length 1, in double precision."""
-    values = column.to_numpy(zero_copy_only=False)
-    good, rows = [], []
-    for k, v in enumerate(values):
-        if v is None or len(v) != size:
-            continue
-        x = np.asarray(v, dtype=np.float64)
-        norm = np.sqrt(np.dot(x, x))
-        if np.isfinite(norm) and norm > 0:
-            good.append(k)
-            rows.append(x / norm)
-    return np.array(good, np.int64), np.array(rows).reshape(len(good), size)
+def _unit(column: pa.Array, size: int) -> np.ndarray:
+    """Usable vectors of `size` numbers scaled to length 1, in double precision; the largest number is taken out first,
+    so that no square overflows or vanishes."""
+    x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size)
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
 def join_blocks(x: np.ndarray, y: np.ndarray, threshold: float, eps: float, leaf: int = 64, same: bool = False) -> tuple[np.ndarray, np.ndarray]:
@@ -137,26 +132,29 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, dimensions: int
     a block goes only where its box can reach. A block pair returns a count for each class and a forest, so a group of
     near copies never costs more rows than it has members in each block pair.
 
-    Null vectors, zero vectors and those with null or non-finite components, null labels and vectors of another length
-    than the most common one link with nothing. Ties go to the smallest vec_id; repeated rows count as copies of one
-    another. A null vec_id has its class's component. An empty table gives no rows; extra columns are ignored.
+    Null vectors, zero vectors, those with null or non-finite components and null labels link with nothing; vectors of
+    different lengths do not link either, and each length is joined by itself. Ties go to the smallest vec_id; repeated
+    rows count as copies of one another. A null vec_id has its class's component. An empty table gives no rows; extra
+    columns are ignored.
     """
-    spark = vectors.sparkSession
-    scratch = Scratch(spark, "embeddings")
+    scratch = Scratch(vectors.sparkSession, "embeddings")
     base = vectors.select("vec_id", F.col("label"), F.col("embedding").cast("array<double>").alias("embedding"))
     usable = F.col("label").isNotNull() & F.col("embedding").isNotNull()
     usable = usable & F.coalesce(F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))), F.lit(False))
     usable = usable & F.coalesce(F.exists("embedding", lambda v: v != 0), F.lit(False))
-    base = base.withColumn("usable", F.coalesce(usable, F.lit(False)))
-    common = base.where("usable").groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    alone = base.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    if common is None:
-        return alone
-    size = common["d"]
-    keyed = base.withColumn("usable", F.col("usable") & (F.size("embedding") == size))
-    keyed = keyed.withColumn("h", F.when(F.col("usable"), F.xxhash64("embedding"))).withColumn("g", F.when(F.col("usable"), F.hash("embedding")))
+    size = F.when(F.coalesce(usable, F.lit(False)), F.size("embedding"))
+    keyed = base.withColumn("size", size).withColumn("h", F.when(size.isNotNull(), F.xxhash64("embedding"))).withColumn("g", F.when(size.isNotNull(), F.hash("embedding")))
     keyed = scratch.write(keyed)
-    good = keyed.where("usable and vec_id is not null")
+    out = keyed.where("size is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    for row in keyed.where("size is not null").select("size").distinct().orderBy("size").collect():
+        out = out.unionByName(_of_one_length(keyed.where(F.col("size") == row["size"]).drop("size"), row["size"], threshold, dimensions, block, scratch))
+    return out
+
+
+def _of_one_length(keyed: DataFrame, size: int, threshold: float, dimensions: int, block: int, scratch: Scratch) -> DataFrame:
+    """near_duplicates of usable vectors of `size` numbers."""
+    spark = keyed.sparkSession
+    good = keyed.where("vec_id is not null")
     classes = good.groupBy("label", "h", "g").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
     classes = scratch.write(classes)
     reps = good.join(classes.select("rep", "copies", F.col("label").alias("l2")), (F.col("vec_id") == F.col("rep")) & (F.col("label") == F.col("l2")))
@@ -165,7 +163,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, dimensions: int
     def moments(batches):
         total, n = np.zeros((size, size)), 0
         for batch in batches:
-            _, x = _unit(batch.column("embedding"), size)
+            x = _unit(batch.column("embedding"), size)
             total += x.T @ x
             n += len(x)
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), pa.array([n], pa.int64())], ["m", "n"])
@@ -178,16 +176,15 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, dimensions: int
 
     def rotate(batches):
         for batch in batches:
-            rows, x = _unit(batch.column("embedding"), size)
+            x = _unit(batch.column("embedding"), size)
             y = x @ axes.value
             cells = np.floor(y[:, :dims] / max(eps, 1e-9)).astype(np.int32)
-            taken = batch.take(pa.array(rows))
-            flat = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * size), len(rows), [None, pa.py_buffer(np.ascontiguousarray(y, "<f8").tobytes())])
-            listed = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * dims, pa.int32()), pa.array(cells.reshape(-1), pa.int32()))
-            columns = [taken.column(c) for c in ("rep", "copies", "label")] + [listed, flat.cast(pa.binary())]
+            flat = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * size), len(x), [None, pa.py_buffer(np.ascontiguousarray(y, "<f8").tobytes())])
+            listed = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * dims, pa.int32()), pa.array(cells.reshape(-1), pa.int32()))
+            columns = [batch.column(c) for c in ("rep", "copies", "label")] + [listed, flat.cast(pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["rep", "copies", "label", "cells", "v"])
 
-    label_type = vectors.schema["label"].dataType.simpleString()
+    label_type = keyed.schema["label"].dataType.simpleString()
     rotated = reps.mapInArrow(rotate, f"rep long, copies long, label {label_type}, cells array<int>, v binary")
     ordered = rotated.repartitionByRange("label", "cells", "rep").sortWithinPartitions("label", "cells", "rep")
 
@@ -220,10 +217,16 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, dimensions: int
 
     blocks = f"block long, label {label_type}, lo array<double>, hi array<double>, ids binary, copies binary, vectors binary"
     blocks = scratch.write(ordered.mapInArrow(cut, blocks))
-    boxes = blocks.select("block", "label", "lo", "hi")
-    other = boxes.select(F.col("block").alias("second"), F.col("label").alias("other"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+    # intervals of blocks first, then the blocks of intervals that are near: far parts of the order are skipped whole
+    boxes = blocks.select("block", F.expr(f"block div {INTERVAL}").alias("interval"), "label", "lo", "hi")
+    corner = lambda f, c: F.array(*[f(F.get(F.col(c), F.lit(k))) for k in range(dims)]).alias(c)
+    wide = boxes.groupBy("label", "interval").agg(corner(F.min, "lo"), corner(F.max, "hi"))
     gap = "aggregate(zip_with(zip_with(lo2, hi, (a, b) -> a - b), zip_with(lo, hi2, (a, b) -> a - b), (a, b) -> greatest(0D, a, b)), 0D, (s, v) -> s + v * v)"
-    near = boxes.join(other, (F.col("label") == F.col("other")) & (F.col("block") <= F.col("second")) & (F.expr(gap) <= (eps + SLACK) ** 2))
+    close = F.expr(gap) <= (eps + SLACK) ** 2
+    other = wide.select(F.col("interval").alias("interval2"), "label", F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+    spans = wide.join(other, "label").where((F.col("interval") <= F.col("interval2")) & close).select("label", "interval", "interval2")
+    other = boxes.select(F.col("block").alias("second"), F.col("interval").alias("interval2"), "label", F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+    near = boxes.join(spans, ["label", "interval"]).join(other, ["label", "interval2"]).where((F.col("block") <= F.col("second")) & close)
     near = scratch.write(near.select("block", "second"))
     content = blocks.select(F.col("block").alias("mine"), "ids", "copies", "vectors")
     ends = near.select("block", "second", F.explode(F.array_distinct(F.array("block", "second"))).alias("mine"))
@@ -235,8 +238,6 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, dimensions: int
     named = classes.join(links, "rep", "left").join(parts, "rep", "left")
     named = named.select("label", "h", "g", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     named = scratch.write(named)
-    linked = keyed.where("usable").join(named, ["label", "h", "g"], "left")
+    linked = keyed.join(named, ["label", "h", "g"], "left")
     linked = linked.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
-    linked = linked.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
-    lone = keyed.where("not usable").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    return linked.unionByName(lone)
+    return linked.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
