@@ -53,6 +53,13 @@ def test_equals_brute_force(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [d for d, *_, bad in want if not bad]
 
 
+def test_repeated_rows_in_several_parts(spark):
+    df = spark.createDataFrame([(1, LONG), (1, LONG), (None, LONG), (None, LONG), (1, "alpha")], "doc_id long, text string")
+    bench = spark.createDataFrame(ITEMS, "item_id long, text string")
+    one, many = (decontaminate.digest(decontaminate.find_windows(df, bench, most_broadcast=m)).collect() for m in (32 << 20, 60))
+    assert len(many) == 5 and sorted(map(tuple, many), key=str) == sorted(map(tuple, one), key=str)
+
+
 def test_empty_tables(spark):
     df = spark.createDataFrame([(1, "alpha beta")], "doc_id long, text string")
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")

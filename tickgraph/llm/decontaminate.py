@@ -153,6 +153,9 @@ def find_windows(
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = -(-total // most_broadcast) or 1
     source, context = carried(docs, carry), docs.sparkSession.sparkContext
+    if parts > 1:  # rows are told apart by a number of their own, as equal ones may repeat
+        numbered = Scratch(docs.sparkSession, "windows").write(source.withColumn("id", F.monotonically_increasing_id()))
+        source = numbered.select(F.struct("id").alias("row"), "text")
     schema = f"row {source.schema['row'].dataType.simpleString()}, {RESULT}"
     outs = []
     for part in range(parts):
@@ -207,7 +210,8 @@ def find_windows(
     none = F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)")
     out = out.withColumn("hit_spans", F.aggregate("spans", none, step))
     hit = F.aggregate("hit_spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
-    return out.select("row", "n_words", hit.alias("n_hit"), "item_ids", "hit_spans")
+    out = out.select(F.col("row.id").alias("id"), "n_words", hit.alias("n_hit"), "item_ids", "hit_spans")
+    return numbered.select("id", "row").join(out, "id").drop("id")
 
 
 def digest(hits: DataFrame) -> DataFrame:
