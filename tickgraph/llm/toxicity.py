@@ -341,9 +341,17 @@ class Model:
         penalty = np.full(width + 1, ridge)
         penalty[width] = 1e-3
         penalty[3:width] = 3 * ridge
+
+        def loss(v: np.ndarray) -> float:
+            z = x @ v
+            return float((times * (np.logaddexp(0, z) - y * z)).sum() + 0.5 * (penalty * v * v).sum())
+
         for _ in range(30):
             p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
             step = np.linalg.solve((x * (times * p * (1 - p))[:, None]).T @ x + np.diag(penalty), x.T @ (times * (y - p)) - penalty * w)
+            here = loss(w)
+            while loss(w + step) > here and np.abs(step).max() > 1e-9:  # a whole Newton step may overshoot
+                step = step / 2
             w += step
             if np.abs(step).max() < 1e-6:
                 break
