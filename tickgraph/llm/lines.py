@@ -52,8 +52,9 @@ def rarity(docs: DataFrame) -> list[int]:
     """Classes of token counts, 0 for the rarest, in CELLS cells.
 
     Each token of all documents is counted by itself. A cell holds the largest count of the tokens that fall into it,
-    and that is the class of them all: of the 10^5 most frequent tokens nearly all keep their own order, whatever the
-    corpus, and some rarer ones come later in it than their own count would have it. Any one order of all tokens makes
+    and that is the class of them all: the k-th most frequent token meets a more frequent one with a chance of about
+    k / CELLS, and then comes later than its own count would have it; so do most tokens beyond the CELLS most frequent,
+    whose order is only roughly that of rarity. Any one order of all tokens makes
     the prefix filter exact. The driver gets a row for each cell.
     """
     text = F.replace(_spaced("text"), F.lit("\n"), F.lit(" "))
