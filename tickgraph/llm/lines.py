@@ -31,10 +31,14 @@ def _words(line: str) -> Column:
     return F.array_remove(F.split(line, " "), "")
 
 
-def _tokens(words: str, short: int, value) -> Column:
-    """The distinct words; of fewer than `short`, their sequence as one token, which no word equals; null for none."""
-    sequence = F.array(value(F.concat(F.lit(" "), F.array_join(words, " "))))
-    return F.when(F.size(words) >= short, F.array_distinct(F.transform(words, value))).when(F.size(words) > 0, sequence)
+def _tokens(words: str, short: int, value=None) -> Column:
+    """The distinct words; of fewer than `short`, their sequence as one token, which no word equals; null for none.
+
+    Where `value` is given, that of each.
+    """
+    sequence = F.concat(F.lit(" "), F.array_join(words, " "))
+    each, whole = (F.transform(words, value), value(sequence)) if value else (F.col(words), sequence)
+    return F.when(F.size(words) >= short, F.array_distinct(each)).when(F.size(words) > 0, F.array(whole))
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -68,7 +72,7 @@ def rarity(docs: DataFrame) -> list[int]:
 
 
 def signed_lines(docs: DataFrame, part: int, whole: int, short: int) -> DataFrame:
-    """(s, t, doc_id, th, line_no, n, g0, g1, prefix) of each line that has a word.
+    """(s, t, doc_id, th, line_no, n, g0, g1, prefix) of each line; n is null for a line without words.
 
     s and t name the set of n tokens; prefix has those, rare ones first, of which two matching sets share one, as
     32-bit hashes; g0 and g1 are parities of the tokens' hashes, 128 in all: each token that only one of two sets has
@@ -80,11 +84,12 @@ def signed_lines(docs: DataFrame, part: int, whole: int, short: int) -> DataFram
         place = F.get(table, h.bitwiseAND(F.lit(CELLS - 1)).cast("int")).cast("long")
         return F.coalesce(F.shiftleft(place, 56).bitwiseOR(F.shiftrightunsigned(h, 8)), F.lit(0).cast("long"))
 
-    # generators keep the plan from working an array out once for each use
+    # an array that is used more than once has a projection of its own, which the optimizer keeps; a filter on one
+    # would be pushed below it and work it out again, so lines without words stay here
     at = ["doc_id", "th", "line_no"]
-    lines = _lines(_rows(docs)).select(*at, F.explode(F.array(_words("line"))).alias("words")).where("size(words) > 0")
-    hashed = lines.select(*at, F.explode(F.array(_tokens("words", short, lambda w: F.xxhash64(w)))).alias("h"))
-    keyed = hashed.select(*at, F.explode(F.array(F.sort_array(F.transform("h", key)))).alias("keys"))
+    lines = _lines(_rows(docs)).select(*at, _words("line").alias("words"))
+    hashed = _tokens("words", short, lambda w: F.xxhash64(w))
+    keyed = lines.select(*at, F.sort_array(F.transform(hashed, key)).alias("keys"))
     parity = "aggregate(keys, 0L, (a, k) -> a ^ if((k & 64) = {}, shiftleft(1L, cast(k & 63 as int)), 0L))"
     prefix = F.col("n") - F.ceil(F.col("n") * part / whole).cast("int") + 1
     sized = keyed.withColumn("n", F.size("keys"))
@@ -135,14 +140,15 @@ def repeated_lines(docs: DataFrame, part: int = 75, whole: int = 100, short: int
     """
     scratch = Scratch(docs.sparkSession, "lines")
     place = ["doc_id", "th", "line_no"]
-    meta = scratch.write(signed_lines(docs, part, whole, short))
+    written = scratch.write(signed_lines(docs, part, whole, short))
+    meta = written.where("n > 0")
     scratch.collect_garbage()
     grouped = meta.groupBy("s", "t").agg(F.min(F.struct(*place, "n", "g0", "g1", "prefix")).alias("f"), F.max(F.struct(*place)).alias("l"))
     grouped = grouped.select("s", "t", "f.*", (F.struct(*[f"f.{c}" for c in place]) != F.col("l")).alias("many"))
     ordered = grouped.repartitionByRange(*place, "s", "t").sortWithinPartitions(*place, "s", "t")
     sets = scratch.write(ordered.withColumn("c", F.monotonically_increasing_id()))
     places, classes = scratch.write(meta.select("s", "t", *place)), scratch.write(sets.select("c", "s", "t", *place, "many"))
-    scratch.free(meta)
+    scratch.free(written)
     scratch.collect_garbage()
 
     def matching(pairs: DataFrame) -> DataFrame:
@@ -153,8 +159,8 @@ def repeated_lines(docs: DataFrame, part: int = 75, whole: int = 100, short: int
         wanted = _chosen(_lines(_chosen(_rows(docs), ends, count, place[:2])), ends, count, place)
         same = [F.col(k).eqNullSafe(F.col(f"e_{k}")) for k in place]
         wanted = wanted.join(ends.select("c", *[F.col(k).alias(f"e_{k}") for k in place]), same[0] & same[1] & same[2])
-        wanted = wanted.groupBy("c").agg(F.first("line").alias("line")).select("c", F.explode(F.array(_words("line"))).alias("words"))
-        wanted = scratch.write(wanted.select("c", _tokens("words", short, lambda w: w).alias("words")))
+        wanted = wanted.groupBy("c").agg(F.first("line").alias("line")).select("c", _words("line").alias("words"))
+        wanted = scratch.write(wanted.select("c", _tokens("words", short).alias("words")))
         other = wanted.select(F.col("c").alias("c2"), F.col("words").alias("words2"))
         both = pairs.join(wanted, "c").join(other, "c2")
         shared = F.size(F.array_intersect("words", "words2"))
