@@ -20,11 +20,13 @@ BITMAP, MOST_BITS = 32768, 1 << 28
 
 
 def _spaced(text: str) -> Column:
-    """Lower case, with a blank for each white space of ASCII but the newline."""
+    """Lower case, with a blank for each white space of ASCII but the newline; most texts have none to replace."""
+    spaces = "\t\r\f\v"
     out = F.lower(F.col(text))
-    for space in "\t\r\f\v":
+    for space in spaces:
         out = F.replace(out, F.lit(space), F.lit(" "))
-    return out
+    held = [F.contains(F.col(text), F.lit(space)) for space in spaces]
+    return F.when(held[0] | held[1] | held[2] | held[3], out).otherwise(F.lower(F.col(text)))
 
 
 def _words(line: str) -> Column:
