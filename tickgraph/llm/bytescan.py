@@ -77,7 +77,7 @@ def texts_of(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray
     return bytes_, offsets - offsets[0]
 
 
-def pieces_of(batch: pa.RecordBatch, column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def pieces_of(batch: pa.RecordBatch, column: str, most: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """Runs of rows of about `most` bytes of text, at least one row each: memory follows the longest text only."""
     _, offsets = texts_of(batch.column(column))
     start, n = 0, len(batch)
