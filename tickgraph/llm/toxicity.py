@@ -240,18 +240,14 @@ def learn_lexicon(texts: DataFrame, least: int = 5, times: float = 30.0) -> list
     """
 
     def run(batches):
-        for batch in batches:
-            counts: Counter = Counter()
-            endings: Counter = Counter()
-            for y, text in zip(batch.column("y").to_pylist(), batch.column("text").to_pylist(), strict=True):
+        for part in (part for batch in batches for part in B.pieces_of(batch, "text")):
+            counts: Counter = Counter()  # of a run of texts, as those of a whole batch fill a worker
+            for y, text in zip(part.column("y").to_pylist(), part.column("text").to_pylist(), strict=True):
                 own = set(re.findall(r"[^\W\d_]+", text.lower()))
                 for w in own:
                     counts[w, False, y] += 1
                 for p in {w[:n] for w in own for n in range(4, min(11, len(w)))}:
                     counts[p, True, y] += 1
-                for w in own if y else ():
-                    for n in range(4, min(11, len(w))):
-                        endings[w[:n], w] += 1
             names = [(w, s, y, n) for (w, s, y), n in counts.items()]
             arrays = [pa.array([r[0] for r in names], pa.string()), pa.array([r[1] for r in names], pa.bool_())]
             arrays += [pa.array([r[3] if r[2] == y else 0 for r in names], pa.int64()) for y in (1, 0)]
