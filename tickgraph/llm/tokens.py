@@ -97,7 +97,7 @@ class _Table:
 class Encoder:
     """Ids of texts, equal to tokenizer.encode(text, add_special_tokens=False).ids."""
 
-    def __init__(self, path: str, most_kept: int = 2_000_000):
+    def __init__(self, path: str, most_kept: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
