@@ -22,7 +22,7 @@ _INNER = "*@$0123456789"
 
 CLASSES = 64
 #: Bytes of states that an automaton keeps from one batch to the next.
-HELD = 16 << 20
+HELD = 64 << 20
 #: Share of the weight of a match that 0, 1 or 2 errors leave.
 NEARNESS = np.array([1.0, 0.6, 0.35])
 _LETTER, _DIGIT_OR_SIGN = 1, 2
