@@ -68,6 +68,17 @@ def test_toxicity_on_held_out_rows(spark):
     assert toxicity.classify(docs.limit(0), labels).collect() == []
 
 
+def distance(word: str, term: str) -> int:
+    """Edit distance in which a swap of neighbours is one error."""
+    d = {(i, j): i + j if not i * j else 0 for i in range(len(word) + 1) for j in range(len(term) + 1)}
+    for i in range(1, len(word) + 1):
+        for j in range(1, len(term) + 1):
+            d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (word[i - 1] != term[j - 1]))
+            if i > 1 and j > 1 and word[i - 1] == term[j - 2] and word[i - 2] == term[j - 1]:
+                d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+    return d[len(word), len(term)]
+
+
 def test_automaton_equals_edit_distance():
     terms = [("loser", False), ("idiot", False), ("pathetic", False), ("scum", False), ("worthless", False), ("lowei", True), ("vequ", True)]
     automaton = toxicity.Automaton(terms)
@@ -76,7 +87,7 @@ def test_automaton_equals_edit_distance():
         best = None
         for k, (t, stem) in enumerate(automaton.terms):
             most = 2 if len(t) >= 8 else 1 if len(t) >= 5 else 0
-            d = min(toxicity.distance(word[:i], t) for i in range(len(word) + 1)) if stem else toxicity.distance(word, t)
+            d = min(distance(word[:i], t) for i in range(len(word) + 1)) if stem else distance(word, t)
             if d <= most and (best is None or (d, k) < best):
                 best = d, k
         return 0 if best is None else 1 + 3 * best[1] + best[0]
@@ -100,3 +111,24 @@ def test_words_and_quotation():
     codes, starts, ends, before, quotes, _ = toxicity.words_in(data, offsets)
     assert ["".join(map(chr, codes[a:b])) for a, b in zip(starts, ends, strict=True)] == ["w0rd", "st*p", "x", "é1é", "a", "b", "c"]
     assert before.tolist() == [0, 4, 4, 5, 7] and len(quotes) == 2
+
+
+def test_automaton_knows_letters_of_all_scripts():
+    alphabet = "".join(chr(0x4E00 + k) for k in range(90))
+    terms = [(alphabet[k : k + 9], False) for k in range(0, 81, 9)]
+    words = [terms[0][0], terms[8][0][:-1] + "x", terms[4][0][:3] + terms[4][0][5:], alphabet[85:90] * 2]
+    automaton = toxicity.Automaton(terms)
+    data, offsets = bytescan.texts_of(pa.chunked_array([pa.array(words)]))
+    codes, starts, ends, *_ = toxicity.words_in(data, offsets)
+    got = automaton.run(codes, starts, ends)
+    names = sorted(terms)
+    wanted = [1 + 3 * names.index(terms[0]), 1 + 3 * names.index(terms[8]) + 1, 1 + 3 * names.index(terms[4]) + 2, 0]
+    assert got.tolist() == wanted
+
+
+def test_reporting_words_as_by_comparison():
+    text = "he says that Word words wordy say said calls call him a term, quote QUOTES phrases"
+    data, offsets = bytescan.texts_of(pa.chunked_array([pa.array([text])]))
+    codes, starts, ends, *_ = toxicity.words_in(data, offsets)
+    wanted = [w in toxicity.REPORTING for w in ["".join(map(chr, codes[a:b])) for a, b in zip(starts, ends, strict=True)]]
+    assert toxicity.reports(codes, starts, ends).tolist() == wanted and sum(wanted) == 9

@@ -20,9 +20,9 @@ REPORTING = "said says say wrote writes called calls quote quoted quotes term wo
 QUOTES = "\"“”„«»‹›"
 _INNER = "*@$0123456789"
 
-CLASSES = 64
-#: Bytes of states that an automaton keeps from one batch to the next.
+#: Bytes of states that an automaton keeps from one batch to the next, what Python needs for each included.
 HELD = 64 << 20
+_OVERHEAD = 192
 #: Share of the weight of a match that 0, 1 or 2 errors leave.
 NEARNESS = np.array([1.0, 0.6, 0.35])
 _LETTER, _DIGIT_OR_SIGN = 1, 2
@@ -60,7 +60,7 @@ def words_in(data: np.ndarray, offsets: np.ndarray):
     edge[bounds] = True
     letter = kind == _LETTER
     inner = kind == _DIGIT_OR_SIGN
-    at = np.arange(n)
+    at = np.arange(n, dtype=np.int32 if n < 2**31 else np.int64)
     last_letter = np.maximum.accumulate(np.where(letter | edge[:n], at, -1))
     broken = np.maximum.accumulate(np.where(~letter & ~inner | edge[:n] & ~letter, at, -1))
     left = inner & (last_letter > broken)
@@ -88,8 +88,9 @@ class Automaton:
     def __init__(self, terms: list[tuple[str, bool]]):
         self.terms = sorted(set(terms))
         self.limit = limit = [2 if len(t) >= 8 else 1 if len(t) >= 5 else 0 for t, _ in self.terms]
-        letters = sorted({c for t, _ in self.terms for c in t})[: CLASSES - 2]
+        letters = sorted({c for t, _ in self.terms for c in t})
         self.letters = {c: k + 1 for k, c in enumerate(letters)}
+        self.width = len(letters) + 1  # 0 stands for all letters that no term has
         children: list[dict[str, int]] = [{}]
         final: list[list[int]] = [[]]
         reach: list[int] = [0]
@@ -108,16 +109,18 @@ class Automaton:
             final[node].append(k)
 
         self.children, self.final, self.reach, self.symbols = children, final, reach, [None, *letters]
-        self.code = np.zeros(0x3000, np.uint8)
+        self.points = np.array([ord(c) for c in letters], np.uint32)
+        self.code = np.zeros(0x3000, np.int32)
         for c, k in self.letters.items():
-            self.code[ord(c)] = k
+            if ord(c) < 0x3000:
+                self.code[ord(c)] = k
         self._restart()
 
     def _restart(self) -> None:
         self.number: dict[bytes, int] = {}
         self.states: list[bytes] = [b""]
         self.held = 0
-        self.table = np.zeros((64, CLASSES), np.int32)
+        self.table = np.zeros((64, self.width), np.int32)
         self.label = np.zeros(64, np.int32)
         self._numbered(self._closed({(0, None): 0}))
 
@@ -148,11 +151,12 @@ class Automaton:
 
     def _numbered(self, items: dict) -> int:
         """The number of a state, from 1 on; a new one has a row of places not worked out (-1)."""
-        name = np.array(sorted((n, *((ord(h[0]), h[1]) if h else (0, 0)), e) for (n, h), e in items.items()), np.int32).tobytes()
+        places = ((n << 41) + ((h[1] << 18) + (self.letters[h[0]] << 2) if h else 0) + e for (n, h), e in items.items())
+        name = np.array(sorted(places), np.int64).tobytes()
         if name not in self.number:
             k = self.number[name] = len(self.states)
             self.states.append(name)
-            self.held += len(name) + 4 * CLASSES
+            self.held += len(name) + 4 * self.width + _OVERHEAD
             if k == len(self.table):
                 self.table = np.concatenate([self.table, np.zeros_like(self.table)])
                 self.label = np.concatenate([self.label, np.zeros_like(self.label)])
@@ -176,12 +180,13 @@ class Automaton:
             if new.get(key, 9) > e:
                 new[key] = e
 
-        for node, letter, then, e in np.frombuffer(self.states[state], np.int32).reshape(-1, 4).tolist():
+        for place in np.frombuffer(self.states[state], np.int64).tolist():
+            node, then, letter, e = place >> 41, place >> 18 & 0x7FFFFF, place >> 2 & 0xFFFF, place & 3
             if node < 0:
                 put((node, None), e)
                 continue
             if letter:
-                if c == chr(letter):
+                if symbol == letter:
                     put((then, None), e)
                 continue
             if c in children[node]:
@@ -198,7 +203,13 @@ class Automaton:
 
     def run(self, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """For each word 0, or 1 + 3 * term + errors of its nearest term."""
-        classes = np.where(codes < 0x3000, self.code[np.minimum(codes, 0x2FFF)], 0)
+        classes = self.code[np.minimum(codes, 0x2FFF)]
+        far = np.flatnonzero(codes >= 0x3000)
+        if len(far):
+            at = np.searchsorted(self.points, codes[far])
+            same = at < len(self.points)
+            same[same] = self.points[at[same]] == codes[far][same]
+            classes[far] = np.where(same, at + 1, 0)
         if self.held > HELD:
             self._restart()
         out = np.zeros(len(starts), np.int32)
@@ -208,8 +219,8 @@ class Automaton:
             after = self.table[state, symbol]
             unknown = after < 0
             if unknown.any():
-                for place in np.unique(state[unknown] * CLASSES + symbol[unknown]).tolist():
-                    k, c = divmod(place, CLASSES)
+                for place in np.unique(state[unknown].astype(np.int64) * self.width + symbol[unknown]).tolist():
+                    k, c = divmod(place, self.width)
                     target = self._after(k, c)  # may replace the table
                     self.table[k, c] = target
                 after = self.table[state, symbol]
@@ -222,17 +233,6 @@ class Automaton:
         return out
 
 
-def distance(word: str, term: str) -> int:
-    """Edit distance in which a swap of neighbours is one error; for tests."""
-    d = {(i, j): i + j if not i * j else 0 for i in range(len(word) + 1) for j in range(len(term) + 1)}
-    for i in range(1, len(word) + 1):
-        for j in range(1, len(term) + 1):
-            d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (word[i - 1] != term[j - 1]))
-            if i > 1 and j > 1 and word[i - 1] == term[j - 2] and word[i - 2] == term[j - 1]:
-                d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
-    return d[len(word), len(term)]
-
-
 def learn_lexicon(texts: DataFrame, least: int = 5, times: float = 30.0) -> list[tuple[str, bool]]:
     """Words and stems (of 4 to 10 letters) that labelled toxic texts have and clean ones do not.
 
@@ -275,6 +275,20 @@ def learn_lexicon(texts: DataFrame, least: int = 5, times: float = 30.0) -> list
     return kept + [(s, True) for s in stems]
 
 
+def reports(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Which words report what others said."""
+    out = np.zeros(len(starts), bool)
+    lengths = ends - starts
+    for n in {len(w) for w in REPORTING}:
+        mine = np.flatnonzero(lengths == n)
+        for word in (w for w in REPORTING if len(w) == n):
+            same = mine
+            for k, c in enumerate(word):
+                same = same[codes[starts[same] + k] == ord(c)]
+            out[same] = True
+    return out
+
+
 def evidence(automaton: Automaton, data: np.ndarray, offsets: np.ndarray, window: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, feature, weight) of each match: 2 * label for abuse, 2 * label + 1 for quotation.
 
@@ -290,9 +304,8 @@ def evidence(automaton: Automaton, data: np.ndarray, offsets: np.ndarray, window
     after = np.searchsorted(quotes, bounds[text + 1]) - np.searchsorted(quotes, starts[hit])
     quoted = (marks % 2 == 1) & (after > 0)
     near = np.maximum(before[text], hit - window)
-    for k, (h, n) in enumerate(zip(hit.tolist(), near.tolist(), strict=True)):
-        if not quoted[k]:
-            quoted[k] = any("".join(map(chr, codes[starts[j] : ends[j]])) in REPORTING for j in range(n, h) if ends[j] - starts[j] < 8)
+    so_far = np.concatenate([[0], np.cumsum(reports(codes, starts, ends))])
+    quoted |= so_far[hit] > so_far[near]
     return text, 2 * label[hit] + quoted, np.ones(len(hit))
 
 
