@@ -35,7 +35,7 @@ def keyed_fold(df: DataFrame, key: str, seq: str, folds: Folds, ticks: dict[str,
                     current, states, held = k, {n: s.start() for n, (s, _, _) in folds.items()}, dict.fromkeys(folds)
                 for n, (step, _, _) in folds.items():
                     xs = [c[i] for c in inputs[n]]
-                    if (n not in gates or gates[n][i]) and xs[0] is not None:
+                    if (n not in gates or gates[n][i]) and (xs[0] is not None or step.nulls):
                         held[n] = step.step(states[n], xs[0] if len(xs) == 1 else tuple(xs))
                     outs[n].append(held[n])
             extra = [pa.array(v, types[n]) for n, v in outs.items()]

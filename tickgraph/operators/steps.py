@@ -11,6 +11,9 @@ from ..errors import InvalidArgument
 class Step:
     """start() gives the state of a key, a JSON-like dict; step(state, x) changes it and gives the output."""
 
+    #: Whether a null input is a step too.
+    nulls = False
+
     def start(self) -> dict[str, Any]:
         return {}
 

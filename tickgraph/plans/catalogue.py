@@ -10,7 +10,8 @@ from ..operators import nodes as N
 from ..operators import timeseries as T
 from ..operators.policies import AlwaysChanged, Epsilon, Predicate, TypedEquality
 from ..sources import feeds
-from . import aad, graph, reduction
+from ..streaming import run
+from . import aad, circuit, graph, reduction
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -558,6 +559,37 @@ def engine_feedback(spark, sf_dir):
     return rounded(events(spark, sf_dir).compile(n), y=n.column + TIE)
 
 
+def feedback_circuit() -> circuit.Circuit:
+    """total = x + back, and a quarter of it goes back through a node of its own."""
+    x, back = circuit.Input("x", 0.0, AlwaysChanged()), circuit.Input("back")
+    total = circuit.Apply("total", lambda a, b: a + b, x, back, policy=AlwaysChanged())
+    damped = circuit.Apply("damped", lambda v: 0.25 * v, total)
+    return circuit.Circuit([total, damped], [(damped, back)])
+
+
+FEEDBACK_SQL = recursive("b.value", "b.value + 0.25 * r.y") + """SELECT user_id, event_id, round(y + 1e-9, 6) AS total,
+round(0.25 * y + 1e-9, 6) AS damped FROM rec"""
+
+
+def _of_feedback(df: DataFrame) -> DataFrame:
+    return df.select("user_id", "event_id", *[r(F.col(c) + TIE).alias(c) for c in ("total", "damped")])
+
+
+@query(FEEDBACK_SQL)
+def engine_feedback_graph(spark, sf_dir):
+    """An output fed back to an input through a graph, on the whole table."""
+    df = read(spark, sf_dir, "events").select("user_id", "event_id", "value")
+    return _of_feedback(circuit.run_table(df, "user_id", "event_id", feedback_circuit(), {"x": "value"}))
+
+
+@query(FEEDBACK_SQL)
+def stream_graph_equals_batch(spark, sf_dir):
+    """The same graph over the table as a stream."""
+    made = feedback_circuit()
+    out = run.replayed(spark, f"{sf_dir}/events.parquet", lambda s: circuit.run_stream(s, "user_id", "event_id", made, {"x": "value"}))
+    return _of_feedback(out)
+
+
 def _half_back(x: float, last: float) -> float:
     return x + 0.5 * last
 

@@ -18,24 +18,25 @@ def stream_fold(stream: DataFrame, key: str, seq: str, value: str, step: Step, k
     """(key, seq, y) of a stream of (key, seq, value): the step over each key in order of seq within a micro-batch.
 
     The state is the step's, as JSON, in the state store. Rows of a key that come in a later batch must have a later
-    seq. A null value gives the output before it.
+    seq. A null value gives the output before it; NaN is a value.
     """
     names = stream.schema
 
     def run(keys: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         own = json.loads(state.get[0]) if state.exists else {"s": step.start(), "y": None}
         parts = list(frames)
-        rows = pd.concat(parts).sort_values(seq, kind="stable") if parts else pd.DataFrame(columns=[seq, value])
+        rows = pd.concat(parts).sort_values(seq, kind="stable") if parts else pd.DataFrame(columns=[seq, value, "__none"])
         out = []
-        for x in rows[value].tolist():
-            if x is not None and x == x or isinstance(x, bool):
+        for x, none in zip(rows[value].tolist(), rows["__none"].tolist(), strict=True):
+            x = None if none else x
+            if x is not None or step.nulls:
                 own["y"] = step.step(own["s"], x)
             out.append(own["y"])
         state.update((json.dumps(own),))
         yield pd.DataFrame({key: [keys[0]] * len(out), seq: rows[seq].tolist(), "y": out})
 
     schema = f"`{key}` {names[key].dataType.simpleString()}, `{seq}` {names[seq].dataType.simpleString()}, y {kind}"
-    grouped = stream.select(key, seq, value).groupBy(key)
+    grouped = stream.select(key, seq, value, F.col(value).isNull().alias("__none")).groupBy(key)
     return grouped.applyInPandasWithState(run, schema, "state string", "append", GroupStateTimeout.NoTimeout)
 
 
@@ -47,6 +48,11 @@ def start(stream: DataFrame, callback: Callable[[DataFrame, int], None], checkpo
 
 def replay_stream(spark: SparkSession, path: str, key: str, seq: str, value: str, step: Step) -> DataFrame:
     """A recorded table through the streaming path, to its end: (key, seq, y)."""
+    return replayed(spark, path, lambda stream: stream_fold(stream, key, seq, value, step))
+
+
+def replayed(spark: SparkSession, path: str, change: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What `change` makes of a recorded table as a stream, run to its end."""
     scratch = Scratch(spark, "stream")
     reader = spark.readStream.schema(spark.read.parquet(path).schema)
     folder, _, name = path.rpartition("/")
@@ -54,7 +60,7 @@ def replay_stream(spark: SparkSession, path: str, key: str, seq: str, value: str
     if where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(where).isFile():
         reader, path = reader.option("pathGlobFilter", name), folder  # a file stream watches a folder
     stream = reader.parquet(path)
-    out = stream_fold(stream, key, seq, value, step)
+    out = change(stream)
     target = f"{scratch.root}/out"
     query = out.writeStream.outputMode("append").option("checkpointLocation", f"{scratch.root}/checkpoint").format("parquet").option("path", target)
     query = query.trigger(availableNow=True).start()
