@@ -24,6 +24,13 @@ def ln(a) -> Column:
     return F.when(F.isnan(a) | (a < 0), F.lit(NAN)).when(a == 0, F.lit(-INF)).otherwise(F.ln(a))
 
 
+def pow(a, b) -> Column:
+    """a to the power b; 1 to any power and -1 to an infinite one are 1, where Java has NaN."""
+    a, b = col(a).cast("double"), col(b).cast("double")
+    one = ((a == 1) & b.isNotNull()) | ((a == -1) & (F.abs(b) == INF))
+    return F.when(one, F.lit(1.0)).otherwise(F.pow(a, b))
+
+
 def _ordered(test: Column, *xs: Column) -> Column:
     for x in xs:
         test = test & ~F.isnan(x)

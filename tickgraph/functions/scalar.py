@@ -35,8 +35,8 @@ def _product_partials(*xs: Column) -> list[Column]:
 
 
 def _power_partials(a: Column, b: Column) -> list[Column]:
-    by_base = F.when(b == 0, F.lit(0.0)).otherwise(b * F.pow(a, b - 1))
-    by_exponent = F.when((a == 0) & (b > 0), F.lit(0.0)).otherwise(F.pow(a, b) * ieee.ln(a))
+    by_base = F.when(b == 0, F.lit(0.0)).otherwise(b * ieee.pow(a, b - 1))
+    by_exponent = F.when((a == 0) & (b > 0), F.lit(0.0)).otherwise(ieee.pow(a, b) * ieee.ln(a))
     return [by_base, by_exponent]
 
 
@@ -56,7 +56,7 @@ DIVIDE = Op(ieee.div, lambda a, b: [ieee.div(1.0, b), -ieee.div(ieee.div(a, b),
 NEGATE = Op(lambda a: -a, lambda a: [F.lit(-1.0)])
 EXP = Op(F.exp, lambda a: [F.exp(a)])
 LN = Op(ieee.ln, lambda a: [ieee.div(1.0, a)])
-POWER = Op(F.pow, _power_partials)
+POWER = Op(ieee.pow, _power_partials)
 SQRT = Op(F.sqrt, lambda a: [ieee.div(0.5, F.sqrt(a))])
 SIN = Op(F.sin, lambda a: [F.cos(a)])
 COS = Op(F.cos, lambda a: [-F.sin(a)])

@@ -236,8 +236,8 @@ def ops_divide_ieee(spark, sf_dir):
 
 @query(f"SELECT {LINE}, round(exp(l_discount), 6) AS e, CASE WHEN l_tax > 0 THEN round(ln(l_tax), 6) ELSE -1e308 END AS l, round(sqrt(l_quantity), 6) AS s, round(pow(l_quantity, l_discount), 6) AS p FROM lineitem")
 def ops_exp_ln_sqrt_pow(spark, sf_dir):
-    log = op("ln", "l_tax")
-    return lineitem(spark, sf_dir, {"e": r(op("exp", "l_discount")), "l": F.when(log == F.lit(-ieee.INF), F.lit(-1e308)).otherwise(r(log)), "s": r(op("sqrt", "l_quantity")), "p": r(op("power", "l_quantity", "l_discount"))})
+    log = F.when(F.col("l_tax") > 0, r(op("ln", "l_tax"))).otherwise(F.lit(-1e308))
+    return lineitem(spark, sf_dir, {"e": r(op("exp", "l_discount")), "l": log, "s": r(op("sqrt", "l_quantity")), "p": r(op("power", "l_quantity", "l_discount"))})
 
 
 @query(f"SELECT {LINE}, round(sin(l_quantity), 6) AS s, round(cos(l_quantity), 6) AS c, round(tan(l_discount), 6) AS t FROM lineitem")
