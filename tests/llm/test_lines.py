@@ -90,3 +90,22 @@ def test_no_python_in_the_plan(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert lines.without_repeated_lines(docs).collect() == []
+
+
+def test_short_rows_of_postings(spark):
+    rng = random.Random(3)
+    big = [(2**31 - 1, 2**31 - 1), (2**31 - 1, 5), (1, 1)]
+    sizes = big + [(n, rng.randint(1, n)) for n in [rng.randint(1, 40) for _ in range(40)]]
+    rows = [(c, rng.random() < 0.3, n, rng.getrandbits(3), rng.getrandbits(3), [7] * min(3, left)) for c, (n, left) in enumerate(sizes)]
+    classes = spark.createDataFrame(rows, "c long, done boolean, n int, g0 long, g1 long, prefix array<int>")
+    posted = lines._postings(classes)
+    assert posted.columns == ["token", "c", "u", "g0", "g1"]
+    met = posted.alias("a").join(posted.alias("b"), lines._near(75, 100)).select("a.c", F.col("b.c").alias("c2")).distinct()
+
+    def near(a, b):
+        apart = (a[3] ^ b[3]).bit_count() + (a[4] ^ b[4]).bit_count()
+        fits = any(175 * min(a[2] - i, b[2] - j) >= 75 * (a[2] + b[2]) for i in range(len(a[5])) for j in range(len(b[5])))
+        return b[0] < a[0] and not a[1] and 100 * min(a[2], b[2]) >= 75 * max(a[2], b[2]) and 175 * apart <= 25 * (a[2] + b[2]) and fits
+
+    want = {(a[0], b[0]) for a in rows for b in rows if near(a, b)}
+    assert {tuple(r) for r in met.collect()} == want and len(want) > 20

@@ -92,12 +92,18 @@ def signed_lines(docs: DataFrame, part: int, whole: int, short: int) -> DataFram
     lines = _lines(_rows(docs)).select(*at, _words("line").alias("words"))
     hashed = _tokens("words", short, lambda w: F.xxhash64(w))
     keyed = lines.select(*at, F.sort_array(F.transform(hashed, key)).alias("keys"))
-    parity = "aggregate(keys, 0L, (a, k) -> a ^ if((k & 64) = {}, shiftleft(1L, cast(k & 63 as int)), 0L))"
+    # for each value of the lowest 7 bits, what it changes in g0 and in g1
+    bits, none = [1 << k for k in range(63)] + [-(1 << 63)], [0] * 64
+
+    def parity(changes: list[int]) -> Column:
+        table = F.array(*[F.lit(c).cast("long") for c in changes])
+        return F.aggregate("keys", F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(F.get(table, k.bitwiseAND(F.lit(127)).cast("int"))))
+
     prefix = F.col("n") - F.ceil(F.col("n") * part / whole).cast("int") + 1
     sized = keyed.withColumn("n", F.size("keys"))
     return sized.select(
-        F.xxhash64("keys").alias("s"), F.xxhash64(F.lit(7), "keys", F.lit(9)).alias("t"), "doc_id", "th", "line_no", "n", F.expr(parity.format(0)).alias("g0"),
-        F.expr(parity.format(64)).alias("g1"), F.transform(F.slice("keys", F.lit(1), prefix), lambda k: F.hash(k)).alias("prefix"),
+        F.xxhash64("keys").alias("s"), F.xxhash64(F.lit(7), "keys", F.lit(9)).alias("t"), "doc_id", "th", "line_no", "n", parity(bits + none).alias("g0"),
+        parity(none + bits).alias("g1"), F.transform(F.slice("keys", F.lit(1), prefix), lambda k: F.hash(k)).alias("prefix"),
     )
 
 
@@ -121,6 +127,29 @@ def _may(part: int, whole: int) -> Column:
     return sizes & (F.lit(whole + part) * apart <= F.lit(whole - part) * total)
 
 
+def _postings(classes: DataFrame) -> DataFrame:
+    """(token, c, u, g0, g1): a row for each prefix token of a class.
+
+    u is n, the number of tokens from this one on, and whether the class is settled, in 32, 31 and 1 bits: the rows are
+    most of what is shuffled.
+    """
+    u = "shiftleft(cast(n as long), 32) | shiftleft(cast(n - pos as long), 1) | if(done, 1L, 0L)"
+    posted = classes.select("c", "done", "n", "g0", "g1", F.posexplode("prefix").alias("pos", "token"))
+    return posted.select("token", "c", F.expr(u).alias("u"), "g0", "g1")
+
+
+def _near(part: int, whole: int) -> Column:
+    """Whether two postings a and b of one token are an unsettled class and an earlier one that may match.
+
+    The test that fails most comes first. None is of one side alone, as it would go below that side's exchange.
+    """
+    n, m, left = "shiftright(a.u, 32)", "shiftright(b.u, 32)", "(shiftright({}.u, 1) & 2147483647)"
+    near = [f"{whole + part} * (bit_count(a.g0 ^ b.g0) + bit_count(a.g1 ^ b.g1)) <= {whole - part} * ({n} + {m})"]
+    near += ["b.c < a.c", "((a.u & 1) = 0 OR b.c < -1)", f"{whole} * least({n}, {m}) >= {part} * greatest({n}, {m})"]
+    near += [f"{whole + part} * least({left.format('a')}, {left.format('b')}) >= {part} * ({n} + {m})"]
+    return F.expr("a.token = b.token AND " + " AND ".join(near))
+
+
 def repeated_lines(docs: DataFrame, part: int = 75, whole: int = 100, short: int = 5) -> DataFrame:
     """(doc_id, th, removed): the numbers of the lines of a document that match an earlier line of the corpus.
 
@@ -193,15 +222,12 @@ def repeated_lines(docs: DataFrame, part: int = 75, whole: int = 100, short: int
         gone = gone.union(found)
     gone = scratch.write(gone)
     # what is settled has no earlier class to look for; both sides are one exchange, as no column of either is renamed or left out
-    open_ = sets.join(gone.withColumn("done", F.lit(True)), "c", "left").withColumn("below", F.when(F.col("done"), -1).otherwise(F.col("c")))
-    open_ = scratch.write(open_.select("c", "below", "n", "g0", "g1", "prefix"))
+    open_ = sets.join(gone.withColumn("done", F.lit(True)), "c", "left").withColumn("done", F.coalesce("done", F.lit(False)))
+    open_ = scratch.write(open_.select("c", "done", "n", "g0", "g1", "prefix"))
     scratch.free(sets)
     scratch.collect_garbage()
-    posted = open_.select("c", "below", "n", "g0", "g1", F.posexplode("prefix").alias("pos", "token"))
-    near = ["a.token = b.token", "b.c < a.below", "b.below < a.c", f"{whole + part} * least(a.n - a.pos, b.n - b.pos) >= {part} * (a.n + b.n)"]
-    near += [f"{whole} * least(a.n, b.n) >= {part} * greatest(a.n, b.n)"]
-    near += [f"{whole + part} * (bit_count(a.g0 ^ b.g0) + bit_count(a.g1 ^ b.g1)) <= {whole - part} * (a.n + b.n)"]
-    met = posted.alias("a").join(posted.alias("b"), F.expr(" AND ".join(near)))
+    posted = _postings(open_)
+    met = posted.alias("a").join(posted.alias("b"), _near(part, whole))
     pairs = scratch.write(met.select(F.col("a.c").alias("c"), F.col("b.c").alias("c2")).distinct())
     scratch.free(open_)
     scratch.collect_garbage()
@@ -238,6 +264,7 @@ def without_repeated_lines(docs: DataFrame, **options) -> DataFrame:
 def digest(docs: DataFrame, **options) -> DataFrame:
     """(doc_id, n_lines, n_removed, kept_sha256) of each document; a null text has no lines."""
     joined = _with_removed(docs, **options)
-    lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1))).cast("long")
+    ends = F.octet_length("text") - F.octet_length(F.replace(F.col("text"), F.lit("\n"), F.lit("")))
+    lines = F.coalesce(ends + 1, F.lit(0)).cast("long")
     kept = F.sha2(F.coalesce(_kept("removed", "text"), F.lit("")), 256)
     return joined.select(F.col("row.doc_id").alias("doc_id"), lines.alias("n_lines"), F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), kept.alias("kept_sha256"))
