@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 
@@ -109,3 +110,35 @@ def test_short_rows_of_postings(spark):
 
     want = {(a[0], b[0]) for a in rows for b in rows if near(a, b)}
     assert {tuple(r) for r in met.collect()} == want and len(want) > 20
+
+
+def test_candidates_by_size(spark):
+    rng = random.Random(8)
+    sets = [rng.sample(range(40), rng.choice([1, 2, 5, 7, 12, 20, 21, 26])) for _ in range(40)]
+    sets += [sorted({*rng.sample(s, max(1, len(s) - rng.choice([0, 1, 2, 3]))), rng.randrange(40)}) for s in sets for _ in range(3)]
+    rng.shuffle(sets)
+    rows = []
+    for c, s in enumerate(sets):
+        s, g = sorted(set(s)), [0, 0]
+        for k in s:
+            g[k % 2] ^= 1 << k
+        rows.append((c, rng.random() < 0.3, len(s), *g, s[: len(s) - math.ceil(len(s) * 0.75) + 1]))
+    classes = spark.createDataFrame(rows, "c long, done boolean, n int, g0 long, g1 long, prefix array<int>")
+    got = {tuple(r) for k in range(2) for r in lines._candidates(classes, 75, 100, k, 2).collect()}
+    posted = lines._postings(classes)
+    # the same pairs as those of all postings with all, which read more of them
+    met = posted.alias("a").join(posted.alias("b"), lines._near(75, 100)).select("a.c", F.col("b.c").alias("c2")).distinct()
+    assert got == {tuple(r) for r in met.collect()}
+    match = {(a, b) for a, x in enumerate(sets) for b, y in enumerate(sets[:a]) if not rows[a][1] and 100 * len({*x} & {*y}) >= 75 * len({*x} | {*y})}
+    assert match <= got and len(match) > 20
+    assert posted.where(lines._short(75, 100)).count() < 0.75 * posted.count()
+
+
+def test_only_rows_that_may_be_flagged_are_shuffled(spark):
+    rows = spark.createDataFrame([(k if k else None, k % 3, f"x{k}") for k in range(3000)] * 2, "a long, b long, v string")
+    ids = rows.where("a is null or a % 100 = 0").select(F.col("a"), F.col("b"), F.lit(True).alias("f")).distinct()
+    got = sorted((tuple(r) for r in lines._flagged(rows, ids, ["a", "b"], ["f"]).collect()), key=str)
+    want = [(k if k else None, k % 3, f"x{k}", True if k % 100 == 0 else None) for k in range(3000)] * 2
+    assert got == sorted(want, key=str)
+    marked = lines._marked(rows, ids, ids.count(), ["a", "b"])
+    assert marked.count() == 6000 and 60 <= marked.where("_may").count() < 3000

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +17,10 @@ STEPS = 3
 PIVOTS = 3
 #: Rounds of centres at most; what they leave is joined whole.
 ROUNDS = 3
+#: Classes that met a centre, at most, of which no more rounds are made: the join can have all their pairs.
+FEW = 1000
+#: Shares of the tokens that are joined one after the other.
+SHARES = 2
 #: Bits of a bitmap that the public bitmap functions make, and of all of them together at most.
 BITMAP, MOST_BITS = 32768, 1 << 28
 
@@ -54,18 +60,24 @@ def _lines(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", "th", F.posexplode(F.split(_spaced("text"), "\n", -1)).alias("line_no", "line"))
 
 
-def rarity(docs: DataFrame) -> list[int]:
-    """Classes of token counts, 0 for the rarest, in CELLS cells.
+def tokens_of(docs: DataFrame, short: int) -> DataFrame:
+    """(doc_id, th, line_no, hashes): the hashes of the distinct tokens of each line; null for a line without words."""
+    # an array that is used more than once has a projection of its own, which the optimizer keeps; a filter on one
+    # would be pushed below it and work it out again, so lines without words stay here
+    lines = _lines(_rows(docs)).select("doc_id", "th", "line_no", _words("line").alias("words"))
+    return lines.select("doc_id", "th", "line_no", _tokens("words", short, lambda w: F.xxhash64(w)).alias("hashes"))
+
+
+def rarity(lines: DataFrame) -> list[int]:
+    """Classes of token counts, 0 for the rarest, in CELLS cells; lines are those of tokens_of.
 
-    Each token of all documents is counted by itself. A cell holds the largest count of the tokens that fall into it,
-    and that is the class of them all: the k-th most frequent token meets a more frequent one with a chance of about
-    k / CELLS, and then comes later than its own count would have it; so do most tokens beyond the CELLS most frequent,
-    whose order is only roughly that of rarity. Any one order of all tokens makes
+    Each token of all lines is counted by itself, once a line. A cell holds the largest count of the tokens that fall
+    into it, and that is the class of them all: the k-th most frequent token meets a more frequent one with a chance of
+    about k / CELLS, and then comes later than its own count would have it; so do most tokens beyond the CELLS most
+    frequent, whose order is only roughly that of rarity. Any one order of all tokens makes
     the prefix filter exact. The driver gets a row for each cell.
     """
-    text = F.replace(_spaced("text"), F.lit("\n"), F.lit(" "))
-    words = _rows(docs).select(F.explode(F.split(text, " ")).alias("w")).where("w <> ''")
-    counts = words.select(F.xxhash64("w").alias("h")).groupBy("h").agg(F.count("*").alias("n"))
+    counts = lines.select(F.explode("hashes").alias("h")).groupBy("h").agg(F.count("*").alias("n"))
     cells = counts.groupBy((F.col("h").bitwiseAND(F.lit(CELLS - 1))).cast("int").alias("c")).agg(F.max("n").alias("n"))
     out = [0] * CELLS
     for c, k in cells.select("c", F.floor(F.log2("n") * STEPS).cast("int")).collect():
@@ -73,25 +85,21 @@ def rarity(docs: DataFrame) -> list[int]:
     return out
 
 
-def signed_lines(docs: DataFrame, part: int, whole: int, short: int) -> DataFrame:
-    """(s, t, doc_id, th, line_no, n, g0, g1, prefix) of each line; n is null for a line without words.
+def signed_lines(lines: DataFrame, part: int, whole: int) -> DataFrame:
+    """(s, t, doc_id, th, line_no, n, g0, g1, prefix) of each line of tokens_of that has words.
 
     s and t name the set of n tokens; prefix has those, rare ones first, of which two matching sets share one, as
     32-bit hashes; g0 and g1 are parities of the tokens' hashes, 128 in all: each token that only one of two sets has
     changes one of them.
     """
-    table = F.split(F.lit(",".join(map(str, rarity(docs)))), ",").cast("array<tinyint>")
+    table = F.split(F.lit(",".join(map(str, rarity(lines)))), ",").cast("array<tinyint>")
 
     def key(h: Column) -> Column:
         place = F.get(table, h.bitwiseAND(F.lit(CELLS - 1)).cast("int")).cast("long")
         return F.coalesce(F.shiftleft(place, 56).bitwiseOR(F.shiftrightunsigned(h, 8)), F.lit(0).cast("long"))
 
-    # an array that is used more than once has a projection of its own, which the optimizer keeps; a filter on one
-    # would be pushed below it and work it out again, so lines without words stay here
     at = ["doc_id", "th", "line_no"]
-    lines = _lines(_rows(docs)).select(*at, _words("line").alias("words"))
-    hashed = _tokens("words", short, lambda w: F.xxhash64(w))
-    keyed = lines.select(*at, F.sort_array(F.transform(hashed, key)).alias("keys"))
+    keyed = lines.where("hashes is not null").select(*at, F.sort_array(F.transform("hashes", key)).alias("keys"))
     # for each value of the lowest 7 bits, what it changes in g0 and in g1
     bits, none = [1 << k for k in range(63)] + [-(1 << 63)], [0] * 64
 
@@ -107,8 +115,8 @@ def signed_lines(docs: DataFrame, part: int, whole: int, short: int) -> DataFram
     )
 
 
-def _chosen(rows: DataFrame, ids: DataFrame, count: int, columns: list[str]) -> DataFrame:
-    """Of rows, all that have an equal one in ids and few others: bitmaps of hashes, 8 bits for each id and 32 MB at most."""
+def _marked(rows: DataFrame, ids: DataFrame, count: int, columns: list[str]) -> DataFrame:
+    """Rows with _may: true for all that have an equal one in ids and for few others: bitmaps of hashes, 8 bits for each id and 32 MB at most."""
     bits = max(1, min(MOST_BITS, 8 * count) // BITMAP)
     place = F.pmod(F.xxhash64(*columns), F.lit(bits * BITMAP))
     spots = ids.select(place.alias("p")).select(F.expr(f"p div {BITMAP}").alias("_b"), (F.col("p") % BITMAP).alias("p"))
@@ -116,7 +124,25 @@ def _chosen(rows: DataFrame, ids: DataFrame, count: int, columns: list[str]) ->
     placed = rows.withColumn("_p", place).withColumn("_b", F.expr(f"_p div {BITMAP}")).withColumn("_p", F.col("_p") % BITMAP)
     byte = F.conv(F.hex(F.expr("substring(_map, cast(_p div 8 as int) + 1, 1)")), 16, 10).cast("int")
     held = F.call_function("getbit", byte, (F.col("_p") % 8).cast("int")) == 1
-    return placed.join(F.broadcast(maps), "_b").where(held).select(*rows.columns)
+    return placed.join(F.broadcast(maps), "_b", "left").select(*rows.columns, F.coalesce(held, F.lit(False)).alias("_may"))
+
+
+def _chosen(rows: DataFrame, ids: DataFrame, count: int, columns: list[str]) -> DataFrame:
+    """Of rows, all that have an equal one in ids and few others."""
+    return _marked(rows, ids, count, columns).where("_may").drop("_may")
+
+
+def _flagged(rows: DataFrame, ids: DataFrame, columns: list[str], extra: list[str]) -> DataFrame:
+    """Rows with the extra columns of the equal row of ids, a written table without repeats; null where there is none.
+
+    Only rows that may have one are shuffled.
+    """
+    marked = _marked(rows, ids, ids.count(), columns)
+    none = marked.where("not _may").select(*rows.columns, *[F.lit(None).cast(ids.schema[c].dataType).alias(c) for c in extra])
+    other = ids.select(*[F.col(c).alias(f"_k{k}") for k, c in enumerate(columns)], *extra)
+    same = [F.col(c).eqNullSafe(F.col(f"_k{k}")) for k, c in enumerate(columns)]
+    met = marked.where("_may").join(other, functools.reduce(Column.__and__, same), "left")
+    return none.unionByName(met.select(*rows.columns, *extra))
 
 
 def _may(part: int, whole: int) -> Column:
@@ -138,18 +164,38 @@ def _postings(classes: DataFrame) -> DataFrame:
     return posted.select("token", "c", F.expr(u).alias("u"), "g0", "g1")
 
 
-def _near(part: int, whole: int) -> Column:
+def _short(part: int, whole: int) -> str:
+    """Whether a posting of the shorter of two sets, or of either of equal ones, can be the first that they share.
+
+    They share part / (whole + part) of both sizes, so at least twice that of the shorter one, from this token on.
+    """
+    return f"{whole + part} * (shiftright(u, 1) & 2147483647) >= {2 * part} * shiftright(u, 32)"
+
+
+def _near(part: int, whole: int, by_size: bool = False) -> Column:
     """Whether two postings a and b of one token are an unsettled class and an earlier one that may match.
 
+    By size, b is the smaller one instead (of equal ones the earlier), and the later one of both is the unsettled one.
     The test that fails most comes first. None is of one side alone, as it would go below that side's exchange.
     """
     n, m, left = "shiftright(a.u, 32)", "shiftright(b.u, 32)", "(shiftright({}.u, 1) & 2147483647)"
     near = [f"{whole + part} * (bit_count(a.g0 ^ b.g0) + bit_count(a.g1 ^ b.g1)) <= {whole - part} * ({n} + {m})"]
-    near += ["b.c < a.c", "((a.u & 1) = 0 OR b.c < -1)", f"{whole} * least({n}, {m}) >= {part} * greatest({n}, {m})"]
+    if by_size:
+        near += [f"({n} > {m} OR {n} = {m} AND b.c < a.c)", "a.c <> b.c", "if(b.c < a.c, a.u, b.u) & 1 = 0"]
+    else:
+        near += ["b.c < a.c", "((a.u & 1) = 0 OR b.c < -1)"]
+    near += [f"{whole} * least({n}, {m}) >= {part} * greatest({n}, {m})"]
     near += [f"{whole + part} * least({left.format('a')}, {left.format('b')}) >= {part} * ({n} + {m})"]
     return F.expr("a.token = b.token AND " + " AND ".join(near))
 
 
+def _candidates(classes: DataFrame, part: int, whole: int, share: int = 0, shares: int = 1) -> DataFrame:
+    """(c, c2): an unsettled class and an earlier one that may match, by the tokens of one of so many shares."""
+    posted = _postings(classes).where(F.pmod("token", F.lit(shares)) == share)
+    met = posted.alias("a").join(posted.where(_short(part, whole)).alias("b"), _near(part, whole, by_size=True))
+    return met.select(F.greatest("a.c", "b.c").alias("c"), F.least("a.c", "b.c").alias("c2")).distinct()
+
+
 def repeated_lines(docs: DataFrame, part: int = 75, whole: int = 100, short: int = 5) -> DataFrame:
     """(doc_id, th, removed): the numbers of the lines of a document that match an earlier line of the corpus.
 
@@ -171,8 +217,9 @@ def repeated_lines(docs: DataFrame, part: int = 75, whole: int = 100, short: int
     """
     scratch = Scratch(docs.sparkSession, "lines")
     place = ["doc_id", "th", "line_no"]
-    written = scratch.write(signed_lines(docs, part, whole, short))
-    meta = written.where("n > 0")
+    hashed = scratch.write(tokens_of(docs, short))
+    meta = written = scratch.write(signed_lines(hashed, part, whole))
+    scratch.free(hashed)
     scratch.collect_garbage()
     grouped = meta.groupBy("s", "t").agg(F.min(F.struct(*place, "n", "g0", "g1", "prefix")).alias("f"), F.max(F.struct(*place)).alias("l"))
     grouped = grouped.select("s", "t", "f.*", (F.struct(*[f"f.{c}" for c in place]) != F.col("l")).alias("many"))
@@ -191,9 +238,11 @@ def repeated_lines(docs: DataFrame, part: int = 75, whole: int = 100, short: int
         same = [F.col(k).eqNullSafe(F.col(f"e_{k}")) for k in place]
         wanted = wanted.join(ends.select("c", *[F.col(k).alias(f"e_{k}") for k in place]), same[0] & same[1] & same[2])
         wanted = wanted.groupBy("c").agg(F.first("line").alias("line")).select("c", _words("line").alias("words"))
-        wanted = scratch.write(wanted.select("c", _tokens("words", short).alias("words")))
+        # one string for each line, as an array of words takes several times its room; no word holds a newline
+        wanted = scratch.write(wanted.select("c", F.array_join(_tokens("words", short), "\n").alias("words")))
         other = wanted.select(F.col("c").alias("c2"), F.col("words").alias("words2"))
         both = pairs.join(wanted, "c").join(other, "c2")
+        both = both.select("c", F.split("words", "\n").alias("words"), F.split("words2", "\n").alias("words2"))
         shared = F.size(F.array_intersect("words", "words2"))
         good = F.lit(whole + part) * shared >= F.lit(part) * (F.size("words") + F.size("words2"))
         out = scratch.write(both.where(good).select("c").distinct())
@@ -204,34 +253,39 @@ def repeated_lines(docs: DataFrame, part: int = 75, whole: int = 100, short: int
     left = sets.select("c", "n", "g0", "g1", "prefix")
     for _ in range(ROUNDS):
         few = left.select("c", "n", "g0", "g1", F.explode(F.slice(F.sort_array("prefix"), 1, PIVOTS)).alias("token"))
-        centre = few.groupBy("token").agg(F.min(F.struct("c", "n", "g0", "g1")).alias("f"), F.count("*").alias("k")).where("k > 1")
-        centre = centre.select("token", *[F.col(f"f.{k}").alias(f"{k}2") for k in ("c", "n", "g0", "g1")])
+        # plain numbers, as a struct would be aggregated by sorting
+        least = [F.min("c").alias("c2"), *[F.min_by(k, "c").alias(f"{k}2") for k in ("n", "g0", "g1")]]
+        centre = few.groupBy("token").agg(*least, F.count("*").alias("k")).where("k > 1").drop("k")
         met = few.join(centre, "token").where((F.col("c2") < F.col("c")) & _may(part, whole))
         pairs = scratch.write(met.groupBy("c").agg(F.min("c2").alias("c2")))
-        if not pairs.count():
+        if pairs.count() <= FEW:
             break
         found = matching(pairs)
         settled.append(found)
-        rest = pairs.select("c").join(found, "c", "left_anti")
-        left = scratch.write(sets.select("c", "n", "g0", "g1", "prefix").join(rest, "c", "left_semi"))
+        rest = scratch.write(pairs.select("c").join(found, "c", "left_anti"))
+        left = _chosen(sets.select("c", "n", "g0", "g1", "prefix"), rest, rest.count(), ["c"])
+        left = scratch.write(left.join(rest, "c", "left_semi"))
         scratch.collect_garbage()
         if not left.count():
             break
     gone = classes.select("c").where(F.lit(False))
     for found in settled:
         gone = gone.union(found)
-    gone = scratch.write(gone)
-    # what is settled has no earlier class to look for; both sides are one exchange, as no column of either is renamed or left out
-    open_ = sets.join(gone.withColumn("done", F.lit(True)), "c", "left").withColumn("done", F.coalesce("done", F.lit(False)))
-    open_ = scratch.write(open_.select("c", "done", "n", "g0", "g1", "prefix"))
+    # what is settled has no earlier class to look for
+    gone = scratch.write(gone.distinct().withColumn("done", F.lit(True)))
+    open_ = _flagged(sets.select("c", "n", "g0", "g1", "prefix"), gone, ["c"], ["done"])
+    open_ = scratch.write(open_.select("c", F.coalesce("done", F.lit(False)).alias("done"), "n", "g0", "g1", "prefix"))
     scratch.free(sets)
     scratch.collect_garbage()
-    posted = _postings(open_)
-    met = posted.alias("a").join(posted.alias("b"), _near(part, whole))
-    pairs = scratch.write(met.select(F.col("a.c").alias("c"), F.col("b.c").alias("c2")).distinct())
+    # postings are most of what is shuffled, so those of one share of the tokens go before the next ones come
+    parts = []
+    for k in range(SHARES):
+        parts.append(scratch.write(_candidates(open_, part, whole, k, SHARES)))
+        scratch.collect_garbage()
     scratch.free(open_)
-    scratch.collect_garbage()
-    gone = gone.union(matching(pairs)).withColumn("none", F.lit(True))
+    pairs = scratch.write(functools.reduce(DataFrame.union, parts).distinct())
+    scratch.free(*parts)
+    gone = gone.select("c").union(matching(pairs)).withColumn("none", F.lit(True))
     decided = classes.join(gone, "c", "left").withColumn("none", F.coalesce("none", F.lit(False))).where("none or many")
     decided = scratch.write(decided.select("s", "t", F.struct(*place).alias("first"), "none"))
     out = places.join(decided, ["s", "t"]).where(F.col("none") | (F.struct(*place) != F.col("first")))
@@ -251,8 +305,9 @@ def _with_removed(docs: DataFrame, **options) -> DataFrame:
     found = repeated_lines(docs, **options)
     found = found.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "removed")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    rows = rows.withColumn("text", F.col("row.text").cast("string")).withColumn("th", F.xxhash64("text"))
-    return rows.join(found, F.col("row.doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")), "left")
+    rows = rows.select("row", F.col("row.text").cast("string").alias("text"), F.col("row.doc_id").alias("_id"))
+    rows = rows.withColumn("_th", F.when(F.col("text").isNotNull(), F.xxhash64("text")))
+    return _flagged(rows, found, ["_id", "_th"], ["removed"])
 
 
 def without_repeated_lines(docs: DataFrame, **options) -> DataFrame:
